@@ -26,9 +26,33 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated 50-word passages removed from all documents."""
+    from cachelens.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents."""
+    from cachelens.llm.simhash import simhash_near_dedup
+
+    return simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    from cachelens.llm.packing import best_two_fit
+
+    return best_two_fit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
