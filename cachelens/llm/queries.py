@@ -47,12 +47,44 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    from cachelens.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into pieces and decoded again."""
+    from cachelens.llm.pieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from cachelens.llm.edit_fingerprints import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from cachelens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_edit_fingerprints": op9_edit_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
