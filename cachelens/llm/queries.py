@@ -54,6 +54,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page urls judged by rules and path templates."""
+    from cachelens.llm.url_templates import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into pieces and decoded again."""
     from cachelens.llm.pieces import encode_decode
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_url_templates": op7_url_templates,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_toxicity": op10_toxicity,

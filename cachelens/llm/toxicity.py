@@ -25,7 +25,7 @@ from cachelens.llm.common import fold, hot_hash
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
