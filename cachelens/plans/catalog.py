@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from cachelens.plans import state_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(state_queries.QUERIES)
+ORACLE: dict[str, str] = dict(state_queries.ORACLE)
