@@ -18,8 +18,8 @@ NAMES = tuple(c.replace("-", "_") for c in COUNTERS)
 def counters(log: DataFrame, buffer_items: int = 64) -> DataFrame:
     """One row per cache with the counters of an infinite budget, over the whole log.
 
-    Without pressure no set is dropped or rejected; an update that raises a cost adds the difference, one that lowers it adds a negative one;
-    removals and sweeps evict their row's cost.
+    Without pressure no set is dropped or rejected; an update that raises a cost adds the difference, one that lowers it
+    evicts the difference; removals and sweeps evict their row's cost.
     """
     reads = hits(log).groupBy("cache_id").agg(F.count_if("hit").alias("hit"), F.count_if(~F.col("hit")).alias("miss"))
     w = write_outcomes(log)
@@ -27,8 +27,8 @@ def counters(log: DataFrame, buffer_items: int = 64) -> DataFrame:
         F.count_if(F.col("outcome") == "insert").alias("keys_added"),
         F.count_if(F.col("outcome") == "update").alias("keys_updated"),
         F.count_if(F.col("outcome") == "remove").alias("_removed"),
-        F.coalesce(F.sum(F.when(F.col("outcome") == "insert", F.col("cost")).when(F.col("outcome") == "update", F.col("cost") - F.col("prev.cost"))), F.lit(0)).alias("cost_added"),
-        F.coalesce(F.sum(F.when(F.col("outcome") == "remove", F.col("prev.cost"))), F.lit(0)).alias("_removed_cost"),
+        F.coalesce(F.sum(F.when(F.col("outcome") == "insert", F.col("cost")).when(F.col("outcome") == "update", F.greatest(F.lit(0), F.col("cost") - F.col("prev.cost")))), F.lit(0)).alias("cost_added"),
+        F.coalesce(F.sum(F.when(F.col("outcome") == "remove", F.col("prev.cost")).when(F.col("outcome") == "update", F.greatest(F.lit(0), F.col("prev.cost") - F.col("cost")))), F.lit(0)).alias("_removed_cost"),
     )
     swept = sweeps(log).groupBy("cache_id").agg(F.count("*").alias("_swept"), F.sum("cost").alias("_swept_cost"))
     kept = get_batches(log, buffer_items).groupBy("cache_id").agg(F.count_if("kept").alias("gets_kept"))

@@ -103,8 +103,8 @@ COUNTERS = LOG + SWEPT + """
 , r AS (SELECT cache_id, count(*) FILTER (WHERE live) AS hit, count(*) FILTER (WHERE NOT live) AS miss FROM look WHERE op = 'get' GROUP BY cache_id),
 w AS (SELECT cache_id, count(*) FILTER (WHERE op = 'insert' AND NOT present) AS keys_added, count(*) FILTER (WHERE op = 'insert' AND present) AS keys_updated,
     count(*) FILTER (WHERE op = 'remove' AND present) AS removed,
-    CAST(sum(CASE WHEN op = 'insert' AND present THEN cost - p.cost WHEN op = 'insert' THEN cost ELSE 0 END) AS BIGINT) AS cost_added,
-    CAST(sum(CASE WHEN op = 'remove' AND present THEN p.cost ELSE 0 END) AS BIGINT) AS removed_cost
+    CAST(sum(CASE WHEN op = 'insert' AND present THEN greatest(0, cost - p.cost) WHEN op = 'insert' THEN cost ELSE 0 END) AS BIGINT) AS cost_added,
+    CAST(sum(CASE WHEN op = 'remove' AND present THEN p.cost WHEN op = 'insert' AND present THEN greatest(0, p.cost - cost) ELSE 0 END) AS BIGINT) AS removed_cost
   FROM look WHERE op IN ('insert', 'remove') GROUP BY cache_id),
 s AS (SELECT cache_id, count(*) AS swept_n, CAST(sum(cost) AS BIGINT) AS swept_cost FROM swept GROUP BY cache_id),
 k AS (SELECT cache_id, CAST(sum(n // 64 * 64) AS BIGINT) AS gets_kept FROM (SELECT cache_id, client_id & 63 AS stripe, count(*) AS n FROM log WHERE op = 'get' GROUP BY ALL) GROUP BY cache_id),
