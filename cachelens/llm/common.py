@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,9 +52,13 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove shuffle files of finished plans now rather than at some later GC."""
+    """Let Spark's context cleaner remove shuffle files of finished plans now rather than at some later GC.
+
+    The cleaner works in the background; the short wait lets it finish before the next stage writes.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def fold(doc_id: Column, k: int) -> Column:

@@ -31,11 +31,12 @@ BLOCK = 2_000_000
 
 @dataclass(frozen=True)
 class Cover:
-    """Window in words, period and difference cover; anchors have ``window - period + 1`` words."""
+    """Window in words, period and difference cover, and passes over window hashes; anchors have ``window - period + 1`` words."""
 
     window: int = 50
     period: int = PERIOD
     cover: tuple[int, ...] = COVER
+    passes: int = 4
 
     def __post_init__(self):
         if {(a - b) % self.period for a in self.cover for b in self.cover} != set(range(self.period)):
@@ -155,30 +156,48 @@ def tie_breaker(docs: DataFrame) -> Column:
     return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
 
 
+def gathered(parts: list[DataFrame], name: str) -> DataFrame:
+    """``doc_id, tie`` and all places ``at`` of the passes as one array; a document has at most as many places as words."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("at")).alias(name))
+
+
 def removals(docs: DataFrame, tie: Column, cover: Cover = Cover()) -> tuple[DataFrame, DataFrame]:
     """Rows that lose nothing for want of a shared anchor (``doc_id, tie, n_words, sha``), and the others with what is
     left (``doc_id, tie, n_words, n_removed, sha, kept`` as bytes)."""
     spark, home = docs.sparkSession, workspace(docs.sparkSession, "substring")
     base = docs.select("doc_id", tie.alias("tie"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     anchors = written(base.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors(cover), "h long, doc_id long, tie long, pos int"), f"{home}/anchors")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    hits = written(anchors.join(shared, "h").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("hits")), f"{home}/hits")
-    del shared, anchors
+    # Anchors and later windows are compared in passes over slices of their hashes, so that only a slice is in shuffle files at any time.
+    found = []
+    for k in range(cover.passes):
+        some = anchors.where(F.pmod("h", F.lit(cover.passes)) == k)
+        shared = some.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        found.append(written(some.join(shared, "h").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("at")), f"{home}/hits-{k}"))
+        del some, shared
+        release(spark)
+    hits = gathered(found, "hits")
+    del anchors
     dropped(spark, f"{home}/anchors")
-    release(spark)
 
     joined = base.join(hits, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", "hits")
     rows = written(joined.mapInArrow(_extended(cover), "doc_id long, tie long, n_words long, sha string, body binary, pos array<int>, h1 array<long>, h2 array<long>"), f"{home}/rows")
     del joined, hits
-    dropped(spark, f"{home}/hits")
+    dropped(spark, *[f"{home}/hits-{k}" for k in range(cover.passes)])
     release(spark)
 
-    windows = rows.where(F.col("pos").isNotNull()).select("doc_id", "tie", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("w")).select("doc_id", "tie", "w.*")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    gone = windows.join(firsts, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone"))
-    gone = written(gone, f"{home}/gone")
-    del firsts, windows
-    release(spark)
+    found = []
+    for k in range(cover.passes):
+        windows = rows.where(F.col("pos").isNotNull()).select("doc_id", "tie", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("w")).select("doc_id", "tie", "w.*")
+        windows = windows.where(F.pmod("h1", F.lit(cover.passes)) == k)
+        firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+        gone = windows.join(firsts, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("at"))
+        found.append(written(gone, f"{home}/gone-{k}"))
+        del firsts, windows, gone
+        release(spark)
+    gone = gathered(found, "gone")
     changed = rows.where(F.col("body").isNotNull()).select("doc_id", "tie", "n_words", "body").join(gone, ["doc_id", "tie"], "left")
     changed = changed.mapInArrow(_without(cover.window), "doc_id long, tie long, n_words long, n_removed long, sha string, kept binary")
     return rows.where(F.col("sha").isNotNull()).select("doc_id", "tie", "n_words", "sha"), changed
