@@ -179,8 +179,8 @@ def label_model(v: np.ndarray, y: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.
 
 
 def correlations(v: np.ndarray, post: np.ndarray) -> np.ndarray:
-    """Correlation of voting at all, given the class, averaged over classes by weight."""
-    on = (v >= 0).astype(float)
+    """Correlation of votes (1 toxic, -1 clean, 0 nothing) given the class, averaged over classes by weight."""
+    on = np.where(v == 1, 1.0, np.where(v == 0, -1.0, 0.0))
     out = np.zeros((v.shape[1],) * 2)
     for w in (post, 1 - post):
         x = (on - (w @ on) / max(w.sum(), 1e-9)) * np.sqrt(w)[:, None]
