@@ -69,10 +69,12 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    from cachelens.llm.edit_fingerprints import edit_fingerprints
+    """Fingerprints of all documents and of their edited texts, and the groups of near copies found by banding."""
+    from cachelens.llm.common import workspace, written
+    from cachelens.llm.edit_fingerprints import edit_fingerprints, fingerprint_groups
 
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    rows = written(edit_fingerprints(table(spark, sf_dir, "documents")), workspace(spark, "edit-rows"))
+    return rows.join(fingerprint_groups(rows.select("doc_id", "fingerprint")), "fingerprint").select(*rows.columns, "group_id")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +97,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS key FROM s),
+f AS (SELECT key, min(doc_id) AS lo FROM k GROUP BY key),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM k JOIN f USING (key) WHERE lo < doc_id),
+gone AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)""",
+}
