@@ -83,6 +83,12 @@ def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def handfuls(column: pa.Array, most: int = 256) -> Iterator[list]:
+    """The values of an Arrow column as Python lists of at most ``most``, so that a batch never stands twice in memory."""
+    for a in range(0, len(column), most):
+        yield column.slice(a, most).to_pylist()
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions on dictionaries of columns.
 

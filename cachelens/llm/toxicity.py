@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import fold, hot_hash
+from cachelens.llm.common import fold, handfuls, hot_hash
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,16 +118,28 @@ def mine(rows: list[tuple[set[str], int]], fit: Fit) -> list[str]:
     return kept
 
 
-def unlike(found: list[set[str]]) -> list[int]:
-    """The rows to learn from: of near copies, whose two least hashes agree, only the first, as copies make any of their words look telling."""
-    seen, out = set(), []
-    for i, u in enumerate(found):
-        h = [zlib.crc32(x.encode()) for x in u]
+def sampled(rows: list[tuple[str, int]], fit: Fit) -> tuple[list[str], list[set[str]], np.ndarray]:
+    """Texts, units and labels to learn from.
+
+    Of near copies, whose two least word hashes agree, only the first stays, as copies make any of their words look telling.  Of the units
+    only those that enough toxic rows hold are kept, as no other can enter the lexicon or the classifier; so memory follows the
+    texts and not the number of different words.
+    """
+    seen, alone, support = set(), [], Counter()
+    for i, (t, y) in enumerate(rows):
+        u = units(t)
+        h = [zlib.crc32(x.encode()) for x in u if x[:1] != "^"]
         key = (min(h, default=-1), min(((x * 2654435761 + 97) & 0xFFFFFFFF for x in h), default=-1))
-        if key not in seen:
-            seen.add(key)
-            out.append(i)
-    return out
+        if key in seen:
+            continue
+        seen.add(key)
+        alone.append(i)
+        if y == 1:
+            support.update(u)
+    usable = {u: u for u, k in support.items() if k >= fit.least_support}
+    del support, seen
+    found = [{usable[x] for x in units(rows[i][0]) if x in usable} for i in alone]
+    return [rows[i][0] for i in alone], found, np.array([rows[i][1] for i in alone], np.int64)
 
 
 def votes(texts: list[str], found: list[set[str]], lexicon: list[str]) -> np.ndarray:
@@ -235,9 +247,9 @@ def train(rows: list[tuple[str, int]], fit: Fit = Fit()) -> Model:
     if not (y == 1).any() or not (y == 0).any():
         base = float((y == 1).mean()) if len(rows) and (y >= 0).all() else 0.0
         return Model({}, 0.0, (math.log(max(base, 1e-6) / max(1 - base, 1e-6)), 1.0), {}, np.zeros((0, 0)))
-    texts, found = [r[0] for r in rows], [units(r[0]) for r in rows]
-    alone = unlike(found)
-    texts, found, y = [texts[i] for i in alone], [found[i] for i in alone], y[alone]
+    texts, found, y = sampled(rows, fit)
+    if not (y == 1).any() or not (y == 0).any():
+        return Model({}, 0.0, (-3.0, 1.0), {}, np.zeros((0, 0)))
     fold_of = np.arange(len(y)) % 5
     many = (y == 1).sum() >= 400
     if many:  # one fold is enough to set the scale
@@ -327,7 +339,7 @@ def scorer(model: Model):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([model.score(t) for t in batch.to_pylist()], pa.float64())
+            yield pa.array([model.score(t) for texts in handfuls(batch) for t in texts], pa.float64())
 
     return score
 
