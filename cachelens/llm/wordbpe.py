@@ -10,6 +10,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 from cachelens.llm.token_counts import byte_of_symbol
 
@@ -20,10 +21,28 @@ UNSURE = re.compile(f"[^{chr(0)}-{chr(0x52F)}]")
 END = b"\xff"  # in no UTF-8 text; stands for the end of a word
 
 
+class Memory(dict):
+    """Remembers up to two generations of ``most`` results of ``make``; looking up an absent key makes it."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
     """Encoder of one file.  ``encode`` gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, memory: int = 200_000):
+    def __init__(self, path: str, memory: int = 100_000):
         import regex
         import tiktoken
 
@@ -44,23 +63,22 @@ class WordBpe:
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", WHITE)
         self.parts = regex.compile(pattern)
-        self.memory, self.young, self.old = memory, {}, {}
+        self.memory = Memory(self._ids, memory)
         self.path, self.library = path, None
 
-    def _word(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if word[:1] == END:
-                ids = self._by_library(word[1:].decode())
-            else:
-                out: list[int] = []
-                for p in self.parts.findall(word.decode()):
-                    out += self.core.encode_single_piece(p.encode() + END)
-                ids = array("I", out).tobytes()
-        if len(self.young) >= self.memory:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
-        return ids
+    def _ids(self, word: bytes) -> bytes:
+        """The ids of one word; runs of letters need no splitting, nor does what a single mark follows."""
+        if word[:1] == END:
+            return self._by_library(word[1:].decode())
+        text = word.decode()
+        if text.isalpha():
+            return array("I", self.core.encode_single_piece(word + END)).tobytes()
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.memory[word[:-1]] + array("I", self.core.encode_single_piece(word[-1:] + END)).tobytes()
+        out: list[int] = []
+        for p in self.parts.findall(text):
+            out += self.core.encode_single_piece(p.encode() + END)
+        return array("I", out).tobytes()
 
     def _by_library(self, text: str) -> bytes:
         if self.library is None:
@@ -68,22 +86,14 @@ class WordBpe:
         return self.library.encode(text)
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii() and UNSURE.search(text):
-            # each word as it stands; those for the library are kept in memory under a leading END
-            return b"".join([self._kept(END + w) if UNSURE.search(w.decode()) else self._plain(w.decode()) for w in text.encode().split()])
+        ids = self.memory.__getitem__
         if not text.isascii():
+            if UNSURE.search(text):
+                # each word as it stands; those for the library are remembered under a leading END
+                return b"".join([ids(END + w) if UNSURE.search(w.decode()) else self._plain(w.decode()) for w in text.encode().split()])
             # lower case by characters, as the file asks: Python alone would look at a final sigma's neighbours
             text = unicodedata.normalize("NFC", text).replace(chr(0x3A3), chr(0x3C3))
-        words = text.lower().encode().split()
-        try:
-            return b"".join([self.young[w] for w in words])
-        except KeyError:
-            pass
-        young, word = self.young.get, self._word
-        return b"".join([young(w) or word(w) for w in words])
-
-    def _kept(self, word: bytes) -> bytes:
-        return self.young.get(word) or self._word(word)
+        return b"".join(map(ids, text.lower().encode().split()))
 
     def encode(self, text: str) -> bytes:
         if self.split is None or "<|" not in text:
