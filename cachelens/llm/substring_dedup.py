@@ -26,7 +26,7 @@ from cachelens.llm.wordhash import Lane, Words
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
 #: Bytes of text hashed at a time.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -174,9 +174,12 @@ def removals(docs: DataFrame, tie: Column, cover: Cover = Cover()) -> tuple[Data
     found = []
     for k in range(cover.passes):
         some = anchors.where(F.pmod("h", F.lit(cover.passes)) == k)
-        shared = some.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        # written first, so that the join has a plain exchange on either side and Spark can split hashes that very many documents hold
+        shared = written(some.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), f"{home}/shared-{k}")
+        release(spark)
         found.append(written(some.join(shared, "h").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("at")), f"{home}/hits-{k}"))
         del some, shared
+        dropped(spark, f"{home}/shared-{k}")
         release(spark)
     hits = gathered(found, "hits")
     del anchors
@@ -192,10 +195,12 @@ def removals(docs: DataFrame, tie: Column, cover: Cover = Cover()) -> tuple[Data
     for k in range(cover.passes):
         windows = rows.where(F.col("pos").isNotNull()).select("doc_id", "tie", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("w")).select("doc_id", "tie", "w.*")
         windows = windows.where(F.pmod("h1", F.lit(cover.passes)) == k)
-        firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+        firsts = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), f"{home}/firsts-{k}")
+        release(spark)
         gone = windows.join(firsts, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("at"))
         found.append(written(gone, f"{home}/gone-{k}"))
         del firsts, windows, gone
+        dropped(spark, f"{home}/firsts-{k}")
         release(spark)
     gone = gathered(found, "gone")
     changed = rows.where(F.col("body").isNotNull()).select("doc_id", "tie", "n_words", "body").join(gone, ["doc_id", "tie"], "left")
