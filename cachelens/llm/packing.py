@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cachelens.llm.common import release, workspace, written
+from cachelens.llm.common import handfuls, release, workspace, written
 from cachelens.llm.token_counts import resolve
 from cachelens.llm.wordbpe import encoder
 
@@ -95,7 +95,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
         end = int(end_id).to_bytes(4, "little")
         for batch in texts:
             ends, flat = [0], []
-            for t in batch.to_pylist():
+            for t in (t for texts in handfuls(batch) for t in texts):
                 ids = encode(t or "") + end
                 for a in range(0, len(ids), 4 * capacity):
                     part = ids[a : a + 4 * capacity]

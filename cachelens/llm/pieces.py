@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cachelens.llm.common import handfuls
 from cachelens.llm.token_counts import resolve
 
 MARK = chr(0x2581)
@@ -341,9 +342,8 @@ def encode_decode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFra
         is_byte[list(m.byte_id.values())] = True
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.to_pylist()]
-            for a in range(0, len(texts), 500):
-                part = texts[a : a + 500]
+            for some in handfuls(batch):
+                part = [t or "" for t in some]
                 for t, ids in zip(part, m.encode_batch(part)):
                     back = m.decode(ids)
                     rows.append((len(ids) // 4, int(is_byte[np.frombuffer(ids, "<u4")].sum()), zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == t))

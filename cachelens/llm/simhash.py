@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import release, workspace, written
+from cachelens.llm.common import handfuls, release, workspace, written
 from cachelens.llm.components import components
 
 
@@ -55,7 +55,7 @@ def _fingerprints(shingle: int, seed: int):
     @F.arrow_udf("long")
     def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([one(t) for t in batch.to_pylist()], pa.int64())
+            yield pa.array([one(t) for part in handfuls(batch) for t in part], pa.int64())
 
     return fingerprints
 
