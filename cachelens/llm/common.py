@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import time
 import uuid
@@ -54,9 +56,11 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner remove shuffle files of finished plans now rather than at some later GC.
 
-    The cleaner works in the background; the short wait lets it finish before the next stage writes.
+    Memory that the driver's Python has freed is returned as well.  The cleaner works in the background; the short wait lets it finish before the next stage writes.
     """
     gc.collect()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)  # what Python has freed goes back to the system
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.5)
 

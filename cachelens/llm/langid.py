@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import fold, hot_hash, slices
+from cachelens.llm.common import fold, handfuls, hot_hash, slices
 
 U = np.uint64
-BLOCK = 1_500_000
+BLOCK = 500_000
 _PRIME = U(0x9E3779B97F4A7C15)
 
 
@@ -171,20 +171,19 @@ def train(rows: list[tuple[str, str]], held: list[tuple[str, str]], fit: Fit = F
         scored = np.ones(len(x), bool)
         for j in range(fit.order):
             scored[first[:-1] + j] = False
-        at = np.flatnonzero(scored)
-        data.append([[grams(x, at, k) for k in range(fit.order + 1)], [grams(x, at - 1, k) for k in range(fit.order)]])
+        data.append((x, np.flatnonzero(scored)))
     below_rows, below_keys = None, None
     n_char = 1 << 16
     for k in range(1, fit.order + 1):
         # an n-gram, its suffix, its context; every one seen in any language, sorted by hash
         parts = []
-        for ending, before in data:
+        for x, at in data:  # hashes are made anew for each order, as those of all orders together would fill the driver
             if k < fit.order:  # continuation: distinct longer n-grams that end in this one
-                _, i = np.unique(ending[k + 1], return_index=True)
-            else:
-                i = np.arange(len(ending[k]))
-            g, at, c = np.unique(ending[k][i], return_index=True, return_counts=True)
-            parts.append((g, ending[k - 1][i][at], before[k - 1][i][at], c))
+                _, i = np.unique(grams(x, at, k + 1), return_index=True)
+                at = at[i]
+            g, i, c = np.unique(grams(x, at, k), return_index=True, return_counts=True)
+            at = at[i]
+            parts.append((g, grams(x, at, k - 1), grams(x, at - 1, k - 1), c))
         keys, pick = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         suffix = np.concatenate([p[1] for p in parts])[pick]
         context = np.concatenate([p[2] for p in parts])[pick]
@@ -297,13 +296,13 @@ def predictor(model: Model):
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
             lang, score, out = [], [], []
-            for a, z in slices([t or "" for t in texts], BLOCK):
-                l, s, r = model.predict(texts[a:z])
-                lang += l
-                score.append(s)
-                out.append(r)
+            for texts in handfuls(batch):
+                for a, z in slices([t or "" for t in texts], BLOCK):
+                    l, s, r = model.predict(texts[a:z])
+                    lang += l
+                    score.append(s)
+                    out.append(r)
             cols = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(out) if out else [], pa.bool_())]
             yield pa.StructArray.from_arrays(cols, names=["lang_pred", "score", "rejected"])
 
