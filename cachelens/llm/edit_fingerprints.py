@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import release, slices, workspace, written
+from cachelens.llm.common import dropped, release, slices, workspace, written
 from cachelens.llm.components import components
 
 SEGMENT, BINS = 4096, 128
 BLOCK = 4_000_000
+PAIRS = 1 << 16  # compared at once
 EMPTY = np.uint32(0xFFFFFFFF)
 _walk: list[np.ndarray] = []
 
@@ -233,23 +234,105 @@ def edit_fingerprints(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets
     return rows.where("role = 0").select(*names).unionByName(edge.select(*names))
 
 
-def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(likeness(as_nibbles(a.to_pylist()), as_nibbles(b.to_pylist())), pa.float64())
+def _planes(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints of ``BINS / 2`` bytes as the four bit planes of their nibbles, of shape (4, 2, prints)."""
+    bits = np.unpackbits(prints, axis=1).reshape(-1, BINS, 4).transpose(2, 0, 1)
+    return np.ascontiguousarray(np.packbits(bits, axis=2).view(np.uint64).transpose(0, 2, 1))
 
 
-def fingerprint_groups(prints: DataFrame, bands: int = 12, width: int = 6, threshold: float = 0.8) -> DataFrame:
-    """``fingerprint, group_id`` for every distinct fingerprint of ``prints`` (``doc_id, fingerprint``); see ``near_groups``."""
+def _passes(threshold: float) -> np.ndarray:
+    """Whether ``likeness`` reaches the threshold, by the number of equal used bins and ``BINS + 1`` times that of used ones."""
+    n, same = np.divmod(np.arange((BINS + 1) ** 2), BINS + 1)
+    j = np.clip((same / np.maximum(n, 1) - 1 / 15) / (1 - 1 / 15), 0, 1)
+    return np.where(same == n, 1.0, 2 * j / (1 + j)) >= threshold
+
+
+def _forest(a: np.ndarray, b: np.ndarray, passes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest of the links between two tiles' planes (the same array twice: within one), by places in both together."""
+    m, n = a.shape[2], b.shape[2]
+    shift = m if a is not b else 0
+    parent = np.arange(m + n if a is not b else m)
+    void = [x[0] & x[1] & x[2] & x[3] for x in (a, b)]  # nibble 15 is an empty bin
+    step = max(1, PAIRS // max(1, n))
+    for s in range(0, m, step):
+        differ, unused = np.zeros((min(step, m - s), n), np.uint8), np.zeros((min(step, m - s), n), np.uint8)
+        for w in range(a.shape[1]):
+            d = a[0, w, s : s + step, None] ^ b[0, w]
+            for p in range(1, 4):
+                d |= a[p, w, s : s + step, None] ^ b[p, w]
+            differ += np.bitwise_count(d)
+            unused += np.bitwise_count(void[0][w, s : s + step, None] & void[1][w])
+        used = BINS - unused.astype(np.int64)
+        i, j = np.nonzero(passes[used * (BINS + 1) + used - differ])
+        i, j = i + s, j + shift
+        while len(i):  # hook each link's larger root below the smaller one, then halve the paths
+            ri, rj = parent[i], parent[j]
+            open_ = ri != rj
+            i, j, ri, rj = i[open_], j[open_], ri[open_], rj[open_]
+            if not len(i):
+                break
+            np.minimum.at(parent, np.maximum(ri, rj), np.minimum(ri, rj))
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent = up
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    return child, parent[child]
+
+
+def _compare(threshold: float):
+    """Rows of tiles ``a`` and ``b`` (null: within ``a``) to the edges ``u, v`` of their links' forest."""
+    passes = _passes(threshold)
+
+    def tile(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = x.values
+        return rows.field("id").to_numpy(), _planes(np.frombuffer(b"".join(rows.field("print").to_pylist()), np.uint8).reshape(-1, BINS // 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(t.num_rows):
+                ids, a = tile(t.column("a")[k])
+                b = a
+                if t.column("b")[k].is_valid:
+                    more, b = tile(t.column("b")[k])
+                    ids = np.concatenate([ids, more])
+                u, v = _forest(a, b, passes)
+                us.append(ids[u])
+                vs.append(ids[v])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
+def fingerprint_groups(prints: DataFrame, bands: int = 12, width: int = 6, threshold: float = 0.8, tile: int = 2048, at_once: int = 8) -> DataFrame:
+    """``fingerprint, group_id`` for every distinct fingerprint of ``prints`` (``doc_id, fingerprint``); see ``near_groups``.
+
+    ``at_once`` bands are shuffled in one pass, which bounds the disk and not the pairs.
+    """
     spark, home = prints.sparkSession, workspace(prints.sparkSession, "edit-groups")
     rng = np.random.default_rng(9)
     places = [rng.choice(BINS, width, replace=False).tolist() for _ in range(bands)]
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("id", F.md5(F.col("fingerprint").cast("binary"))), f"{home}/distinct")
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fingerprint", p + 1, 1) for p in ps]) for i, ps in enumerate(places)])
-    banded = distinct.select("id", F.explode(keys).alias("band"))
-    ends = written(banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), f"{home}/ends")
-    pairs = banded.join(ends, "band").select("id", F.explode(F.array("lo", "hi")).alias("other")).where("id <> other").distinct()
-    one, two = distinct.select("id", F.col("fingerprint").alias("a")), distinct.select(F.col("id").alias("other"), F.col("fingerprint").alias("b"))
-    near = pairs.join(one, "id").join(two, "other").where(F.arrow_udf(_alike, "double")("a", "b") >= threshold)
-    groups = components(near.select(F.col("id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("id"), "component")
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), f"{home}/distinct")
+    release(spark)
+    edges = None
+    for k in range(0, bands, at_once):
+        keys = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fingerprint", p + 1, 1) for p in places[i]]) for i in range(k, min(bands, k + at_once))])
+        banded = distinct.select("id", F.explode(keys).alias("band"))
+        crowds = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), f"{home}/crowds-{k}")
+        held = banded.join(crowds, "band").withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).select("id", "band", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("tile"))
+        shown = held.join(distinct.select("id", F.unhex("fingerprint").alias("print")), "id")
+        tiles = written(shown.groupBy("band", "parts", "tile").agg(F.collect_list(F.struct("id", "print")).alias("a")), f"{home}/tiles-{k}")
+        later = tiles.where("tile < parts - 1").withColumn("tile", F.explode(F.sequence(F.col("tile") + 1, F.col("parts") - 1)))
+        across = later.join(tiles.select("band", "tile", F.col("a").alias("b")), ["band", "tile"]).select("a", "b")
+        within = tiles.select("a", F.lit(None).cast(tiles.schema["a"].dataType).alias("b"))
+        found = written(within.unionByName(across).mapInArrow(_compare(threshold), "u long, v long"), f"{home}/edges-{k}")
+        edges = found if edges is None else edges.unionByName(found)
+        dropped(spark, f"{home}/crowds-{k}", f"{home}/tiles-{k}")
+        del banded, crowds, held, shown, tiles, later, across, within
+        release(spark)
+    groups = components(edges).select(F.col("node").alias("id"), "component")
     member = distinct.join(groups, "id", "left").select("fingerprint", "least", F.coalesce("component", "id").alias("component"))
     out = written(member.join(member.groupBy("component").agg(F.min("least").alias("group_id")), "component").select("fingerprint", "group_id"), f"{home}/named")
     release(spark)
@@ -259,8 +342,8 @@ def fingerprint_groups(prints: DataFrame, bands: int = 12, width: int = 6, thres
 def near_groups(prints: DataFrame, bands: int = 12, width: int = 6, threshold: float = 0.8) -> DataFrame:
     """``doc_id, group_id`` from ``doc_id, fingerprint``: groups of rows linked by verified likeness of at least ``threshold``.
 
-    Bands sample ``width`` bins each.  Distinct fingerprints that agree in a band are each compared with the least and the greatest
-    of that band's group, on whole fingerprints, so a group of any size costs rows in proportion to its members.  ``group_id`` is the
-    smallest id of the group; rows without an id have it too.  Texts at the threshold share a band with probability above 0.9.
+    Bands sample ``width`` bins each.  Distinct fingerprints that agree in a band are all compared with each other, on whole fingerprints, in
+    tiles of bounded size; a pair of tiles gives a spanning forest of its links.  Rows are in proportion to members, comparisons to pairs
+    within a band's group.  ``group_id`` is the smallest id of the group; rows without an id have it too.  Texts at the threshold share a band with probability above 0.9.
     """
     return prints.join(fingerprint_groups(prints, bands, width, threshold), "fingerprint").select("doc_id", "group_id")

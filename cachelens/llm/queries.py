@@ -70,10 +70,9 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the groups of near copies found by banding."""
-    from cachelens.llm.common import workspace, written
     from cachelens.llm.edit_fingerprints import edit_fingerprints, fingerprint_groups
 
-    rows = written(edit_fingerprints(table(spark, sf_dir, "documents")), workspace(spark, "edit-rows"))
+    rows = edit_fingerprints(table(spark, sf_dir, "documents"))  # written, but for the few edge rows
     return rows.join(fingerprint_groups(rows.select("doc_id", "fingerprint")), "fingerprint").select(*rows.columns, "group_id")
 
 

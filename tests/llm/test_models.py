@@ -256,6 +256,39 @@ def test_near_groups_find_copies(spark, documents):
     assert ef.near_groups(prints.limit(0)).collect() == []
 
 
+def brute_groups(nibbles, threshold=0.8):
+    """The links of all pairs, and each row's group by its least member."""
+    links, group = set(), list(range(len(nibbles)))
+    for i in range(len(nibbles)):
+        links.update((i, int(j)) for j in np.flatnonzero(ef.likeness(np.repeat(nibbles[i : i + 1], len(nibbles), 0), nibbles) >= threshold) if j > i)
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(group[i], group[j])
+            changed |= group[i] != low or group[j] != low
+            group[i] = group[j] = low
+    return links, group
+
+
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_groups_of_drifting_copies_in_one_bucket(spark, tile):
+    """Neighbours are alike, ends are not, and all share every band: bins that bands look at do not change."""
+    rng = np.random.default_rng(5)
+    now = rng.integers(0, 15, ef.BINS).astype(np.uint8)
+    looked = np.random.default_rng(9).choice(ef.BINS, 6, replace=False)
+    free, rows = np.setdiff1d(np.arange(ef.BINS), looked), []
+    for k in range(100):
+        now = now.copy()
+        now[rng.choice(free, 12, replace=False)] = rng.integers(0, 15, 12)
+        rows.append(now)
+    nibbles = np.array(rows)
+    prints = spark.createDataFrame(list(enumerate(ef.as_text(nibbles))), "doc_id long, fingerprint string")
+    out = ef.fingerprint_groups(prints, bands=1, tile=tile).collect()
+    got = dict(zip([r.fingerprint for r in out], [r.group_id for r in out]))
+    assert [got[p] for p in ef.as_text(nibbles)] == brute_groups(nibbles)[1] == [0] * 100
+
+
 # --- toxicity
 
 
