@@ -289,6 +289,24 @@ def test_groups_of_drifting_copies_in_one_bucket(spark, tile):
     assert [got[p] for p in ef.as_text(nibbles)] == brute_groups(nibbles)[1] == [0] * 100
 
 
+def test_groups_recall_near_the_threshold(spark):
+    """Pairs whose likeness lies just above 0.8, against brute force."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 15, (600, ef.BINS)).astype(np.uint8)
+    b = a.copy()
+    for x in b:
+        at = rng.choice(ef.BINS, 39, replace=False)
+        x[at] = (x[at] + rng.integers(1, 15, 39)) % 15
+    both = np.concatenate([a, b])
+    near = ef.likeness(a, b)
+    assert (near >= 0.8).all() and (near < 0.81).all()
+    prints = ef.as_text(both)
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    got = {r.fingerprint: r.group_id for r in ef.fingerprint_groups(df).collect()}
+    assert sum(got[prints[k]] == got[prints[600 + k]] for k in range(600)) >= 0.94 * 600
+    assert len(set(got.values())) >= 600
+
+
 # --- toxicity
 
 
