@@ -3,8 +3,9 @@
 A text is read by a random walk: at step t the reader looks at its current character, a hash of (t, character), shared by all texts, decides
 whether it moves on, and the pair (t, character) is one place of the embedding.  Two texts with few edits read the same characters at the same
 steps nearly everywhere, since walks that an edit has shifted apart meet again; so their edit distance becomes a Hamming
-distance of embeddings.  Texts are read in segments of ``SEGMENT`` characters whose walks start afresh, so a long text costs no more per
-character than a short one.
+distance of embeddings.  Texts are read in segments whose walks start afresh.  A segment begins where a hash of the ``WINDOW`` characters before
+it says so, about every ``SEGMENT`` characters, whatever their place in the text; so an edit moves the segment it lies in and no other.  A
+segment's places are told from those of others by the window that it begins after, and by how often that came before.
 
 The embedding is sampled by bins: each step belongs to one of ``BINS`` bins by a hash of t, and the least hash in a bin, cut to
 four bits, is kept.  The share of equal bins estimates the share of common places.  Banding over sampled bins finds candidate pairs, which are
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cachelens.llm.common import dropped, release, slices, workspace, written
 from cachelens.llm.components import components
 
-SEGMENT, BINS = 4096, 128
+SEGMENT, WINDOW, BINS = 1024, 16, 128
 BLOCK = 4_000_000
 PAIRS = 1 << 16  # compared at once
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -39,27 +40,64 @@ def _mix32(x: np.ndarray) -> np.ndarray:
         return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def walk() -> list[np.ndarray]:
-    """Multiplier, addend and bin of each step; a walk over a segment takes at most 4 * SEGMENT steps (then it moves at every one)."""
-    if not _walk:
-        t = np.arange(4 * SEGMENT + SEGMENT, dtype=np.uint64)
-        _walk.extend([_mix32(3 * t + 1) | np.uint32(1), _mix32(3 * t + 2), (_mix32(3 * t + 3) % BINS).astype(np.int64)])
+def walk(steps: int) -> list[np.ndarray]:
+    """Multiplier, addend and bin of at least the first ``steps`` steps."""
+    if not _walk or len(_walk[0]) < steps:
+        t = np.arange(max(steps, 16 * SEGMENT), dtype=np.uint64)
+        _walk[:] = [_mix32(3 * t + 1) | np.uint32(1), _mix32(3 * t + 2), (_mix32(3 * t + 3) % BINS).astype(np.int64)]
     return _walk
 
 
+def borders(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text and seed of every segment of the texts of these sizes, which follow each other in ``chars``, in order.
+
+    A border whose window equals that of the text's border before it is none, so a run of one repeated passage is not cut into pieces.
+    """
+    first = np.cumsum(sizes) - sizes
+    owner = np.flatnonzero(sizes)
+    start, seed = first[owner], np.zeros(len(owner), np.uint32)
+    if len(chars) > WINDOW:
+        with np.errstate(over="ignore"):
+            h, mul, width = chars * np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), 1
+            h ^= h >> np.uint32(15)
+            while width < WINDOW:  # h[i] is over the ``width`` characters from i
+                h = h[:-width] * mul + h[width:]
+                mul, width = mul * mul, 2 * width
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(0x7FEB352D)
+            h ^= h >> np.uint32(15)
+        at = np.flatnonzero(h % np.uint32(SEGMENT) == 0)
+        text = np.searchsorted(np.cumsum(sizes), at, side="right")
+        inside = at + WINDOW < first[text] + sizes[text]
+        at, text = at[inside], text[inside]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at[1:]] != h[at[:-1]]) | (text[1:] != text[:-1])
+        at, text = at[new], text[new]
+        window = h[at]
+        order = np.lexsort((at, window, text))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (window[order][1:] != window[order][:-1]) | (text[order][1:] != text[order][:-1])
+        place = np.arange(len(at))
+        before = np.empty(len(at), np.int64)
+        before[order] = place - np.maximum.accumulate(np.where(fresh, place, 0))
+        start = np.concatenate([start, at + WINDOW])
+        owner = np.concatenate([owner, text])
+        seed = np.concatenate([seed, _mix32(window.astype(np.uint64) + (before.astype(np.uint64) << np.uint64(32)))])
+        order = np.argsort(start, kind="stable")
+        start, owner, seed = start[order], owner[order], seed[order]
+    return start, owner, seed
+
+
 def sketches(texts: list[str]) -> np.ndarray:
     """The nibbles (0-14, 15 for an empty bin) of each text's fingerprint, of shape (texts, BINS)."""
     least = np.full((len(texts), BINS), EMPTY)
     sizes = np.array([len(t) for t in texts], np.int64)
-    n_seg = -(-sizes // SEGMENT)
-    if n_seg.sum():
+    if sizes.sum():
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(texts)), n_seg)
-        index = np.arange(len(owner)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
-        start = np.repeat(np.cumsum(sizes) - sizes, n_seg) + index * SEGMENT
-        end = np.minimum(start + SEGMENT, np.repeat(np.cumsum(sizes), n_seg))
-        with np.errstate(over="ignore"):  # a segment's number enters every hash through its characters
-            buf = chars + np.repeat(_mix32(index.astype(np.uint64)) * (index > 0).astype(np.uint32), end - start)
+        start, owner, seed = borders(chars, sizes)
+        end = np.append(start[1:], len(chars))
+        with np.errstate(over="ignore"):  # a segment's seed enters every hash through its characters
+            buf = chars + np.repeat(seed, end - start)
         order = np.argsort(start - end, kind="stable")
         for a in range(0, len(order), 4096):
             some = order[a : a + 4096]
@@ -70,7 +108,7 @@ def sketches(texts: list[str]) -> np.ndarray:
 
 def _walked(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The least hash of each bin for the walks over ``buf[start:end]``."""
-    mul, add, bins = walk()
+    mul, add, bins = walk(0)
     out = np.full((len(start), BINS), EMPTY)
     who, at, stop, t = np.arange(len(start)), start.copy(), end.copy(), 0
     mins = np.full((BINS, len(start)), EMPTY)
@@ -78,7 +116,10 @@ def _walked(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         while len(who):
             room = int((stop - at).min())
             masked = room < 16
-            for t in range(t, t + (32 if masked else room)):  # noqa: B020
+            until = t + (32 if masked else room)
+            if until > len(mul):
+                mul, add, bins = walk(2 * until)
+            for t in range(t, until):  # noqa: B020
                 if masked:
                     done = at >= stop
                     c = buf[np.minimum(at, len(buf) - 1)]
@@ -89,7 +130,7 @@ def _walked(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
                 x ^= x >> np.uint32(16)
                 x *= np.uint32(0x7FEB352D)
                 x ^= x >> np.uint32(15)
-                step = x >> np.uint32(31) if t < 3 * SEGMENT else np.ones_like(x)
+                step = x >> np.uint32(31)
                 if masked:
                     x[done] = EMPTY
                     step[done] = 0

@@ -238,6 +238,26 @@ def test_fingerprints_do_not_depend_on_the_batch(documents):
     assert (together == np.concatenate([ef.sketches([t]) for t in texts])).all()
 
 
+def test_likeness_of_long_texts_with_an_early_insertion(documents):
+    whole = " ".join(documents.text)
+    texts = [whole[a : a + 40960] for a in range(0, min(len(whole) - 40960, 10 * 40960), 40960)]
+    assert len(texts) >= 5
+    base = ef.sketches(texts)
+    for k in (10, 50):
+        assert (ef.likeness(base, ef.sketches(["qx zk wv uj "[:10] * (k // 10) + t for t in texts])) > 0.85).all()
+
+
+def test_segments_do_not_depend_on_their_place():
+    rng = np.random.default_rng(8)
+    chars = rng.integers(97, 123, 60_000).astype(np.uint32)
+    start, owner, seed = ef.borders(np.concatenate([chars, chars[100:]]), np.array([60_000, 59_900]))
+    one, two = start[owner == 0], start[owner == 1] - 60_000 + 100
+    assert len(one) > 30 and set(two[1:]) == set(x for x in one if x >= 116) and one[0] == 0
+    assert set(seed[owner == 1][1:]) <= set(seed[owner == 0])
+    start, _, _ = ef.borders(np.full(20_000, 119, np.uint32), np.array([20_000]))
+    assert len(start) <= 2  # a run is not cut into pieces
+
+
 def test_near_groups_find_copies(spark, documents):
     rng = random.Random(3)
     base = [t for t in documents.text if 2000 < len(t) < 9000][:12]
