@@ -6,7 +6,7 @@ search per character; characters whose n-gram no language has seen back off thro
 back-off weights of their contexts.  The language with the lowest cross-entropy per character wins.
 
 Confidence is a logistic function of the log likelihood ratio of the two best languages, fitted on snippets of held-aside rows.  A text is rejected
-when its cross-entropy lies further above its language's usual value than any held-aside text's, by a documented margin.
+when its cross-entropy lies further above its language's usual value than nearly all held-aside texts', by a documented margin.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ _PRIME = U(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Fit:
-    """Order of the models; rows of a language's sample (expected; at most twice as many); most languages; slack of rejection."""
+    """Order of the models; rows of a language's sample (expected; at most twice as many); most languages; quantile of held-aside
+    deviations and the margin above it from which a text is rejected."""
 
     order: int = 4
     sample_rows: int = 400
     most_languages: int = 1000
-    slack: float = 2.5
+    quantile: float = 0.98
+    slack: float = 3.0
     snippets: tuple[int, ...] = (4, 8, 16, 32, 64)
 
 
@@ -230,7 +232,7 @@ def calibrate(m: Model, held: list[tuple[str, str]], fit: Fit) -> None:
         m.usual[j] = np.median(v)
         m.wander[j] = max(0.1, 1.4826 * np.median(np.abs(v - m.usual[j])))
         z = (v - m.usual[j]) / (m.wander[j] + m.spread[j] / np.sqrt(s))
-        m.limit[j] = fit.slack * max(4.0, z.max())
+        m.limit[j] = np.quantile(z, fit.quantile) + fit.slack
     # snippets of every length, cut from whole texts at every length's step, give right and wrong decisions to fit on
     ratio, right = [], []
     for size_ in fit.snippets:

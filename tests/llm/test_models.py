@@ -102,6 +102,21 @@ def test_foreign_text_is_rejected(spark, sf):
     assert out.all()
 
 
+def test_a_language_left_out_is_rejected(sf):
+    docs = pd.read_parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").dropna(subset=["text", "lang"])
+    texts = {l: [t[:3000] for t in g.text[:200]] for l, g in docs.groupby("lang")}
+    for out in ("de", "fr"):
+        rows, held, others = [], [], []
+        for l, t in texts.items():
+            n = len(t)
+            if l != out:
+                rows += [(l, x) for x in t[: n // 2]]
+                held += [(l, x) for x in t[n // 2 : 3 * n // 4]]
+                others += t[3 * n // 4 :]
+        model = langid.train(rows, held)
+        assert model.predict(texts[out])[2].mean() > 0.8 and model.predict(others)[2].mean() < 0.05
+
+
 # --- sentence pieces
 
 
