@@ -55,7 +55,7 @@ def units(text: str) -> set[str]:
 def patterns(text: str) -> list[int]:
     """Votes of the style patterns: 1 toxic, 0 clean, -1 nothing."""
     n = max(1, len(text))
-    upper = sum(map(str.isupper, text[:: max(1, n // 4096)])) / len(text[:: max(1, n // 4096)] or " ")
+    upper = sum(map(str.isupper, text)) / n
     return [
         1 if text.count("!") > 0.05 * n else -1,
         1 if upper > 0.5 and n > 40 else -1,

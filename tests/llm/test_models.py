@@ -363,6 +363,13 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).collect() == []
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    """Every second character of a long text is upper-case; a walk by twos sees one kind only."""
+    text = "aB" * 5000
+    assert toxicity.patterns(text)[1] == -1 and toxicity.patterns("Ba" * 5000)[1] == -1
+    assert toxicity.patterns("ABa" * 4000)[1] == 1
+
+
 def test_label_model_finds_voters_accuracies():
     rng = np.random.default_rng(5)
     y = (rng.random(4000) < 0.2).astype(int)
