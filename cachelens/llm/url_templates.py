@@ -1,10 +1,10 @@
 """URL filters: listed rules, and for all other urls a path-template tree with labelled purity.
 
-Per host, paths form a tree of segments.  Numbers and hexadecimal names are generalised at once; then level by level, a node with too many children turns its
-rare ones into a wildcard, and children whose shares of rejected labels do not differ significantly are merged into one branch.  A
+Per host, paths form a tree of segments.  Numbers and hexadecimal names are generalised at once; then level by level, a node with too many children takes its
+rare ones together as wildcards, as far as their labels are alike, and children whose shares of rejected labels do not differ significantly are merged into one branch.  A
 template is rejected when its smoothed share of rejected labels reaches a threshold.
 
-Only counts per (host, lexical template) are shuffled, pre-aggregated on the map side; a node's children are at most ``most_children`` when they
+Only counts per (host, lexical template) are shuffled, pre-aggregated on the map side; a node's rare children are counted by their labels before they
 are gathered, so a host with a third of all pages costs one group no more than any other.
 """
 
@@ -71,20 +71,40 @@ def lexical(path: Column, depth: int) -> Column:
 
 
 def _branches(z: float):
-    """Children (segment, rejected, accepted) to (segment, merged branch), alike ones under one name."""
+    """Children (segment, how many such, rejected, accepted of each) to (segment, merged branch), alike ones under one name.
+
+    A rare child comes without a name of its own, once for all that have the same counts; its ``seg`` starts with a slash.  Labelled rare children stay
+    in one pool unless they differ from the pool significantly; those that do are compared like named ones.  Unlabelled ones are never mixed with labelled.
+    """
 
     def merged(kids: list[dict]) -> list[tuple[str, str]]:
-        groups: list[tuple[int, int, list[str]]] = []
-        for k in sorted(kids, key=lambda k: ((k["bad"] + 1) / (k["bad"] + k["good"] + 2), k["seg"])):
+        units: list[tuple[int, int, list[str]]] = [(k["bad"], k["good"], [k["seg"]]) for k in kids if k["seg"][0] != "/"]
+        rare = [k for k in kids if k["seg"][0] == "/"]
+        bad, good = (sum(k["kids"] * k[c] for k in rare) for c in ("bad", "good"))
+        pool: tuple[int, int, list[str]] = (0, 0, [])
+        for k in rare:
             n = k["bad"] + k["good"]
+            unit = (k["kids"] * k["bad"], k["kids"] * k["good"], [k["seg"]])
+            if n and _alike(k["bad"], n, bad, bad + good, z):
+                pool = (pool[0] + unit[0], pool[1] + unit[1], pool[2] + unit[2])
+            else:
+                units.append(unit)
+        if pool[2]:
+            units.append(pool)
+        groups: list[tuple[int, int, list[str]]] = []
+        for b, g, segs in sorted(units, key=lambda u: ((u[0] + 1) / (u[0] + u[1] + 2), u[2])):
             if groups:
                 bad, good, names = groups[-1]
-                m = bad + good
-                if (n == 0) == (m == 0) and (n == 0 or _alike(k["bad"], n, bad, m, z)):
-                    groups[-1] = (bad + k["bad"], good + k["good"], [*names, k["seg"]])
+                n, m = b + g, bad + good
+                if (n == 0) == (m == 0) and (n == 0 or _alike(b, n, bad, m, z)):
+                    groups[-1] = (bad + b, good + g, names + segs)
                     continue
-            groups.append((k["bad"], k["good"], [k["seg"]]))
-        return [(s, names[0] if len(names) == 1 else "(" + "|".join(sorted(names)) + ")") for _, _, names in groups for s in names]
+            groups.append((b, g, list(segs)))
+        out = []
+        for i, (b, g, names) in enumerate(groups):  # digits are no part of lexical segments
+            told = sorted(s for s in names if s[0] != "/") + ([f"*{i + 1}" if b + g else "*"] if any(s[0] == "/" for s in names) else [])
+            out += [(s, told[0] if len(told) == 1 else "(" + "|".join(told) + ")") for s in names]
+        return out
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -111,10 +131,10 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         kids = here.groupBy("host", "up", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
         nodes = kids.groupBy("host", "up").agg(F.count("*").alias("kids"), F.sum("n").alias("all"))
         rare = (F.col("kids") > tree.most_children) & (F.col("n") * tree.most_children < F.col("all"))
-        named = kids.join(nodes, ["host", "up"]).withColumn("wild", F.when(rare, F.lit("*")).otherwise(F.col("seg")))
+        named = kids.join(nodes, ["host", "up"]).withColumn("wild", F.when(rare, F.concat_ws("/", F.lit(""), "bad", "good")).otherwise(F.col("seg")))
         named = written(named.select("host", "up", "seg", "wild", "bad", "good"), f"{home}/{d}-kids")
-        few = named.groupBy("host", "up", "wild").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        sets = few.groupBy("host", "up").agg(F.collect_list(F.struct(F.col("wild").alias("seg"), "bad", "good")).alias("k"))
+        few = named.groupBy("host", "up", "wild").agg(F.count("*").alias("kids"), F.first("bad").alias("bad"), F.first("good").alias("good"))  # alike within "wild"
+        sets = few.groupBy("host", "up").agg(F.collect_list(F.struct(F.col("wild").alias("seg"), "kids", "bad", "good")).alias("k"))
         into = sets.select("host", "up", F.explode(F.arrow_udf(_branches(tree.z), "array<struct<seg:string,into:string>>")("k")).alias("b")).select("host", "up", F.col("b.seg").alias("wild"), "b.into")
         moves = named.join(into, ["host", "up", "wild"]).select("host", "up", "seg", "into")
         keyed = m.withColumns({"up": F.when(F.size("t") >= d, F.slice("t", 1, d - 1)), "seg": F.when(F.size("t") >= d, F.col("t")[d - 1])})

@@ -435,3 +435,17 @@ def test_similar_branches_merge(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(300)], "page_id long, label int")
     got = {r.template for r in judge_urls(df, labels, rules=()).collect()}
     assert got == {"/(a|b)/{n}", "/c/{n}"}
+
+
+def test_rare_children_share_a_wildcard_only_if_alike(spark):
+    """One of 40 equal directories is always rejected; another host has blocked and unlabelled rare directories of one shape."""
+    words = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    rows = [(40 * k + i, f"http://h.com/{w}/{k}") for i, w in enumerate(words) for k in range(25)]
+    labels = [(40 * k + i, int(i == 7)) for i in range(40) for k in range(25)]
+    more = [(5000 + i, f"http://g.com/{w}/x") for i, w in enumerate(words)]
+    labels += [(5000 + i, 1) for i in range(6)]
+    df = spark.createDataFrame(rows + more, "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(df, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()}
+    assert all((got[i].verdict == "block") == (i % 40 == 7) for i in range(1000))
+    assert {got[5000 + i].template for i in range(6)}.isdisjoint({got[5000 + i].template for i in range(6, 40)})
+    assert all(got[5000 + i].verdict == "block" for i in range(6))
