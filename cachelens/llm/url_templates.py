@@ -2,7 +2,7 @@
 
 Per host, paths form a tree of segments.  Numbers and hexadecimal names are generalised at once; then level by level, a node with too many children takes its
 rare ones together as wildcards, as far as their labels are alike, and children whose shares of rejected labels do not differ significantly are merged into one branch.  A
-template is rejected when its smoothed share of rejected labels reaches a threshold.
+template is rejected when its share of rejected labels, shrunk towards its ancestors' and that of the same template on other hosts, reaches a threshold.
 
 Only counts per (host, lexical template) are shuffled, pre-aggregated on the map side; a node's rare children are counted by their labels before they
 are gathered, so a host with a third of all pages costs one group no more than any other.
@@ -142,9 +142,37 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         t = F.when(F.col("into").isNotNull(), F.concat(F.slice("t", 1, d - 1), F.array("into"), F.slice("t", d + 1, 64))).otherwise(F.col("t"))
         m = written(moved.select("host", "t0", "n", "bad", "good", t.alias("t")), f"{home}/{d}")
     release(spark)
-    pure = m.groupBy("host", "t").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    pure = pure.select("host", "t", ((F.col("b") + tree.smoothing) / (F.col("b") + F.col("g") + 2 * tree.smoothing)).alias("purity"))
-    return m.join(pure, ["host", "t"]).select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "purity")
+    return m.join(_above(m, tree, home), ["host", "t"]).join(_elsewhere(m, home), "t0").select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), _purity(tree).alias("purity"))
+
+
+def _elsewhere(m: DataFrame, home: str) -> DataFrame:
+    """``t0, b_all, g_all``: the labels of a lexical template over all hosts."""
+    return written(m.groupBy("t0").agg(F.sum("bad").alias("b_all"), F.sum("good").alias("g_all")), f"{home}/over-hosts")
+
+
+def _above(m: DataFrame, tree: Tree, home: str) -> DataFrame:
+    """``host, t, b, g, above, told``: a template's labels, the share of its ancestors, each shrunk towards its own parent, and whether the host has a label."""
+    s = 2 * tree.smoothing
+    leaf = written(m.groupBy("host", "t").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")), f"{home}/leaves")
+    up = leaf.select("host", "t", "b", "g", F.explode(F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)))).alias("d")).withColumn("up", F.slice("t", 1, F.col("d")))
+    nodes = written(up.groupBy("host", "up").agg(F.sum("b").alias("up_b"), F.sum("g").alias("up_g")), f"{home}/nodes")
+    chain = up.join(nodes, ["host", "up"]).groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("d", "up_b", "up_g"))).alias("chain"))
+    above = F.aggregate("chain", F.lit(0.5), lambda p, x: (x["up_b"] + s * p) / (x["up_b"] + x["up_g"] + s))
+    told = F.col("chain")[0]["up_b"] + F.col("chain")[0]["up_g"] > 0
+    return written(leaf.join(chain.select("host", "t", above.alias("above"), told.alias("told")), ["host", "t"]), f"{home}/above")
+
+
+def _purity(tree: Tree) -> Column:
+    """A template's share of rejected labels, shrunk towards a prior with the weight of the pseudo-labels.
+
+    The prior is the mean of its ancestors' share and that of the same lexical template on all other hosts; if the host has no label, the latter alone.
+    Unlabelled siblings are one template, so the latter is looked up for each lexical template.
+    """
+    s = 2 * tree.smoothing
+    bad, good = F.col("b_all") - F.col("bad"), F.col("g_all") - F.col("good")
+    elsewhere = (bad + tree.smoothing) / (bad + good + s)
+    prior = F.when(F.col("told"), (F.col("above") + elsewhere) / 2).otherwise(elsewhere)
+    return (F.col("b") + s * prior) / (F.col("b") + F.col("g") + s)
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, tree: Tree = Tree()) -> DataFrame:
@@ -153,7 +181,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, t
     Args:
         labels: ``page_id, label`` (1 to reject, 0 to accept); rows that a rule decides are labelled by it as well, and a label given here comes first.
 
-    The verdict is the rule's, else ``block`` where the template's purity reaches the threshold, else ``allow``; a template without labels stands at one half.
+    The verdict is the rule's, else ``block`` where the template's purity reaches the threshold, else ``allow``; a template with few
+    labels or none stands between its ancestors on the host and the same template on other hosts, at one half where none of them has a label.
     A null url, or one without ``://``, has an empty host and path; null or repeated ids are judged row by row; contradicting labels of an id count
     as a rejection; an empty table gives an empty result; other columns are ignored.
     """

@@ -449,3 +449,16 @@ def test_rare_children_share_a_wildcard_only_if_alike(spark):
     assert all((got[i].verdict == "block") == (i % 40 == 7) for i in range(1000))
     assert {got[5000 + i].template for i in range(6)}.isdisjoint({got[5000 + i].template for i in range(6, 40)})
     assert all(got[5000 + i].verdict == "block" for i in range(6))
+
+
+def test_labels_reach_templates_without_any(spark):
+    """/win/<id> is rejected on five hosts; a new host and a mostly rejected one follow, a mostly accepted host does not."""
+    rows = [(100 * h + i, f"http://h{h}.com/{'win' if i < 20 else 'shop'}/{i}") for h in range(5) for i in range(40)]
+    labels = [(i, int(i % 100 < 20)) for i, _ in rows]
+    rows += [(1000, "http://new.com/win/1"), (1001, "http://new.com/shop/1")]
+    rows += [(2000 + 100 * k + i, f"http://{'bad' if k else 'good'}.com/x/{i}") for k in range(2) for i in range(40)]
+    labels += [(2000 + 100 * k + i, k) for k in range(2) for i in range(40)]
+    rows += [(3000, "http://good.com/win/1"), (3001, "http://bad.com/win/1"), (3002, "http://bad.com/plain/1")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in judge_urls(df, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()}
+    assert [got[i] for i in (1000, 1001, 3000, 3001, 3002)] == ["block", "allow", "allow", "block", "allow"]
