@@ -10,6 +10,7 @@ are gathered, so a host with a third of all pages costs one group no more than a
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Tree:
-    """Levels that are told apart (deeper segments count as one), children of a node before wildcards, z of a significant difference,
+    """Levels that are always told apart (deeper ones as long as labels differ), children of a node before wildcards, z of a significant difference,
     pseudo-labels on either side, and the share from which a template is rejected."""
 
     depth: int = 6
@@ -61,13 +62,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def lexical(path: Column, depth: int) -> Column:
-    """A path's segments with numbers as ``{n}`` and long hexadecimal names as ``{x}``; beyond ``depth`` one ``**``."""
-    parts = F.transform(
+def lexical(path: Column) -> Column:
+    """A path's segments with numbers as ``{n}`` and long hexadecimal names as ``{x}``."""
+    return F.transform(
         F.filter(F.split(path, "/", -1), lambda s: s != ""),
         lambda s: F.when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$") & s.rlike("[a-fA-F]"), F.lit("{x}")).otherwise(F.regexp_replace(s, r"[0-9]+", "{n}")),
     )
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
 def _branches(z: float):
@@ -120,13 +120,26 @@ def _alike(a: int, n: int, b: int, m: int, z: float) -> bool:
     return abs(a / n - b / m) <= z * math.sqrt(p * (1 - p) * (1 / n + 1 / m)) + 1e-12
 
 
+def _stopped(m: DataFrame, d: int, tree: Tree, home: str) -> DataFrame:
+    """Templates cut to ``d - 1`` segments and ``**`` below nodes whose labels are all the same or too few to differ significantly."""
+    deep = m.where(F.size("t") >= d).withColumn("up", F.slice("t", 1, d - 1))
+    nodes = written(deep.groupBy("host", "up").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")), f"{home}/{d}-nodes")
+    # b rejected against g accepted ones, the widest difference there can be, has z = sqrt(b + g)
+    open_ = (F.col("b") > 0) & (F.col("g") > 0) & (F.col("b") + F.col("g") > tree.z**2)
+    cut = deep.join(nodes, ["host", "up"]).select(*m.columns[:-1], F.when(open_, F.col("t")).otherwise(F.concat("up", F.array(F.lit("**")))).alias("t"))
+    return written(m.where(F.size("t") < d).unionByName(cut), f"{home}/{d}-stopped")
+
+
 def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """``host, t0`` (a lexical template) with its ``template`` and ``purity`` from rows ``host, t0, label`` (1 rejected, 0 accepted, null unknown)."""
     spark, home = urls.sparkSession, workspace(urls.sparkSession, "templates")
     counts = urls.groupBy("host", "t0").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
     m = written(counts.withColumn("t", F.col("t0")), f"{home}/0")
-    deepest = m.agg(F.max(F.size("t"))).first()[0] or 0
-    for d in range(1, deepest + 1):
+    for d in itertools.count(1):
+        if d > tree.depth:
+            m = _stopped(m, d, tree, home)
+        if m.where((F.size("t") >= d) & (F.col("t")[F.least(F.lit(d), F.size("t")) - 1] != "**")).isEmpty():
+            break
         here = m.where(F.size("t") >= d).select("host", F.slice("t", 1, d - 1).alias("up"), F.col("t")[d - 1].alias("seg"), "n", "bad", "good")
         kids = here.groupBy("host", "up", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
         nodes = kids.groupBy("host", "up").agg(F.count("*").alias("kids"), F.sum("n").alias("all"))
@@ -139,7 +152,7 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         moves = named.join(into, ["host", "up", "wild"]).select("host", "up", "seg", "into")
         keyed = m.withColumns({"up": F.when(F.size("t") >= d, F.slice("t", 1, d - 1)), "seg": F.when(F.size("t") >= d, F.col("t")[d - 1])})
         moved = keyed.join(moves, ["host", "up", "seg"], "left")
-        t = F.when(F.col("into").isNotNull(), F.concat(F.slice("t", 1, d - 1), F.array("into"), F.slice("t", d + 1, 64))).otherwise(F.col("t"))
+        t = F.when(F.col("into").isNotNull(), F.concat(F.slice("t", 1, d - 1), F.array("into"), F.slice("t", d + 1, F.size("t")))).otherwise(F.col("t"))
         m = written(moved.select("host", "t0", "n", "bad", "good", t.alias("t")), f"{home}/{d}")
     release(spark)
     return m.join(_above(m, tree, home), ["host", "t"]).join(_elsewhere(m, home), "t0").select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), _purity(tree).alias("purity"))
@@ -189,7 +202,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, t
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     d = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    d = d.withColumns({"rule": name, "said": verdict, "t0": lexical(F.col("path"), tree.depth)})
+    d = d.withColumns({"rule": name, "said": verdict, "t0": lexical(F.col("path"))})
     label = F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)
     if labels is not None:
         known = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("label").alias("given"))

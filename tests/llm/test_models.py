@@ -462,3 +462,13 @@ def test_labels_reach_templates_without_any(spark):
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r.verdict for r in judge_urls(df, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()}
     assert [got[i] for i in (1000, 1001, 3000, 3001, 3002)] == ["block", "allow", "allow", "block", "allow"]
+
+
+def test_templates_go_as_deep_as_labels_differ(spark):
+    rows = [(100 * k + i, f"http://h.com/a/b/c/d/e/f/g/{'news' if k else 'ads'}/{i}") for k in range(2) for i in range(40)]
+    rows += [(1000 + i, f"http://h.com/plain/b/c/d/e/f/g/{i}/h") for i in range(5)]
+    labels = [(i, int(i < 100)) for i, _ in rows if i < 1000 and i % 2]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(df, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()}
+    assert all((got[i].verdict == "block") == (i < 40) for i in got)
+    assert got[0].template.startswith("/a/b/c/d/e/f/g/ads/") and got[1000].template == "/plain/b/c/d/e/f/**"
