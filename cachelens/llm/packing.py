@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cachelens.llm.common import handfuls, release, workspace, written
+from cachelens.llm.common import handfuls, release, slices, workspace, written
 from cachelens.llm.token_counts import resolve
 from cachelens.llm.wordbpe import encoder
 
+#: Characters of text encoded at a time.
+BLOCK = 1_000_000
+
 
 def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     """Slots for ``counts[n]`` pieces of each length n: arrays ``length, first, bin, copies, offset``.
@@ -85,25 +88,34 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "bin", "copies", "offset"), table.T))
 
 
+def _cut(ids: np.ndarray, ends: np.ndarray, capacity: int, end_id: int, fields: list) -> pa.ListArray:
+    """The pieces of each text, from the ids of all texts in a row and their ends."""
+    ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4", copy=False)
+    ends = ends + np.arange(len(ends))
+    size = np.diff(ends)
+    n = -(-size // capacity)
+    lists = np.concatenate([[0], np.cumsum(n)])
+    start = (np.arange(lists[-1]) - np.repeat(lists[:-1], n)) * capacity
+    length = np.minimum(capacity, np.repeat(size, n) - start)
+    at = np.repeat(ends[:-1], n) + start
+    view = memoryview(ids).cast("B") if len(ids) else b""
+    crc = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+    cols = [pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+    if len(fields) > 3:
+        cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]), pa.int32()), pa.array(ids.view("<i4"))))
+    return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(cols, names=[f for f, _ in fields]))
+
+
 def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     kind = "array<struct<start:long,length:long,crc:long" + (",ids:array<int>" if with_ids else "") + ">>"
     fields = [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
 
     @F.arrow_udf(kind)
     def pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(resolve(tokenizer)).encode
-        end = int(end_id).to_bytes(4, "little")
+        encode = encoder(resolve(tokenizer)).encode_batch
         for batch in texts:
-            ends, flat = [0], []
-            for t in (t for texts in handfuls(batch) for t in texts):
-                ids = encode(t or "") + end
-                for a in range(0, len(ids), 4 * capacity):
-                    part = ids[a : a + 4 * capacity]
-                    row = (a // 4, len(part) // 4, zlib.crc32(part))
-                    flat.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
-                ends.append(len(flat))
-            cols = [pa.array([r[i] for r in flat], t) for i, (_, t) in enumerate(fields)]
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names=[n for n, _ in fields]))
+            parts = [_cut(*encode(part[a:z]), capacity, end_id, fields) for part in ([t or "" for t in some] for some in handfuls(batch)) for a, z in slices(part, BLOCK)]
+            yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.struct(fields)))])
 
     return pieces
 
@@ -127,11 +139,12 @@ def best_two_fit(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
 
     A document is its token ids and then ``end_id``; one longer than ``capacity`` is cut into pieces of ``capacity``, the last as long as it comes.
     A null text is empty and so has ``end_id`` alone; a null id keeps its row; repeated rows are packed one by one; an empty table
-    gives an empty result; other columns are ignored.  Which of several pieces of one length goes where follows their ids.
+    gives an empty result; other columns are ignored.  Which of several pieces of one length goes where is left open.
     """
     spark = docs.sparkSession
     cut = docs.select("doc_id", _pieces(tokenizer, capacity, end_id, with_ids)("text").alias("p")).select("doc_id", F.posexplode("p").alias("piece", "p"))
-    cut = written(cut.select("doc_id", "piece", "p.*").withColumnRenamed("crc", "ids_crc32"), workspace(spark, "pieces"))
+    # numbered once for all as they are written, so that no two rows are alike, whatever repeats
+    cut = written(cut.select("doc_id", "piece", "p.*", F.monotonically_increasing_id().alias("row")).withColumnRenamed("crc", "ids_crc32"), workspace(spark, "pieces"))
     # at most `capacity` rows, whatever the input
     histogram = cut.groupBy("length").count().collect()
     counts = np.zeros(capacity + 1, np.int64)
@@ -140,10 +153,10 @@ def best_two_fit(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
     slots = plan(counts, capacity)
     total = int(counts.sum())
     buckets = int(min(65536, max(64, total // 1000)))
-    keyed = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = cut.withColumn("_b", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     per = keyed.groupBy("length", "_b").count()
     before = per.select("length", "_b", (F.sum("count").over(Window.partitionBy("length").orderBy("_b")) - F.col("count")).alias("_before"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("row")))
     ranked = ranked.join(before, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
     release(spark)
     out = ranked.withColumn("_at", _placed(slots)("length", "_rank"))
