@@ -382,6 +382,43 @@ def test_label_model_finds_voters_accuracies():
     assert np.abs(got[:4] - accuracy).max() < 0.09 and corr[3, 4] > 0.95
 
 
+def brute_votes(text, lexicon):
+    """Votes of one text, voter by voter, from the definition of each."""
+    words = set(re.findall(r"[^\W\d_]+", text.lower()))
+    holds = [any(w == u for w in words) if u[0] != "^" else any(w.startswith(u[1:]) for w in words) for u in lexicon]
+    styles = [text.count("!") > 0.05 * len(text) and "!" in text, len(text) > 40 and sum(c.isupper() for c in text) > 0.5 * len(text)]
+    styles += [re.search(r"\b(you|du|tu|usted)\b[^.\n]{0,20}\b(are|bist|es|eres)\b[^.\n]{0,20}!", text, re.I) is not None, "!?" in text or "?!" in text]
+    return [1 if h else -1 for h in holds + styles] + [1 if sum(holds) >= 2 else -1, -1 if any(holds) else 0]
+
+
+def test_votes_and_scores_equal_brute_force(spark, sf):
+    """The model that executors count votes for is that of all rows at hand, and scores are its sums of weights."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    documents = pd.read_parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    held = {i for i in documents.doc_id.tolist() if zlib.crc32(str(i).encode()) % 3 == 1}
+    rest = [(i, t) for i, t in zip(documents.doc_id.tolist(), documents.text) if i not in held]
+    seen = {}
+
+    def steps(lexicon):
+        v, y = np.array([brute_votes(t, lexicon) for _, t in rest], np.int8), np.array([known.get(i, -1) for i, _ in rest])
+        assert (v == toxicity.votes([t for _, t in rest], lexicon)).all()
+        seen["lexicon"] = lexicon
+        return lambda beliefs, pairs: toxicity.statistics(v, y, np.ones(len(v)), beliefs, pairs)
+
+    order = sorted((i for i, _ in rest if i in known), key=toxicity.hash_order)
+    text = dict(rest)
+    want = toxicity.train([(text[i], known[i]) for i in order], toxicity.Fit(), steps)
+    assert seen["lexicon"] and want.weights
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+    for i, t in zip(documents.doc_id.tolist(), documents.text):
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        raw = want.bias + sum(w for u, w in want.weights.items() if (u in words if u[0] != "^" else any(x.startswith(u[1:]) for x in words)))
+        score = 1 / (1 + math.exp(-min(30, max(-30, want.line[0] + want.line[1] * raw))))
+        assert abs(got[i].score - score) < 1e-6 and got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (i in held)
+
+
 # --- urls
 
 
