@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds, on DataFrame expressions alone.
 
-Every text gives five counts.  Fixed base rules reject the worst; for each other signal a grid of cutoffs is tested
-on labelled holdout rows: a cutoff is certified for a stratum when the exact (Clopper-Pearson) binomial upper bound of its
-false rejection rate among good rows stays at or below the allowed risk.  The confidence is split evenly over
-all strata, signals and cutoffs (Bonferroni), and the risk evenly over the signals, so that with probability ``1 - delta`` no
-stratum loses more than ``risk`` of its good documents to the rules.  Of the certified cutoffs each stratum takes the one that rejects
-most junk of the other labelled rows, less a price for good rows; a stratum without a certified cutoff rejects nothing.
+Every text gives five counts.  Fixed base rules reject the worst; for the other signals cutoffs are certified on labelled rows.  One half of them
+chooses, for each stratum and signal, the cutoff that rejects most junk less a price for good rows.  From the loosest cutoffs to the chosen
+ones leads a fixed sequence of combined rules, each stricter than the one before.  They are tested in this order on the other half, the holdout, until
+one fails: a combination is certified when the exact (Clopper-Pearson) binomial upper bound of its false rejection rate among good rows stays at
+or below the allowed risk.  A fixed sequence needs no correction for its own length; over strata the confidence is split
+evenly (Bonferroni), so that with probability ``1 - delta`` no stratum loses more than ``risk`` of its good documents to these rules.  A stratum
+without a certified combination rejects nothing by them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 
 from cachelens.llm.common import SPACE_CLASS, fold, release, workspace, written
 
-#: Signals in which larger is worse, from the counts, and their grids of cutoffs.  A cutoff rejects values above it.
+#: Signals in which larger is worse, from the counts, and their sequences of cutoffs, loosest first.  A cutoff rejects values above it.
 SIGNALS: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbol_ratio": ("n_symbols / n_words", (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0)),
-    "word_length": ("word_chars / n_words", (7.5, 8.0, 9.0, 10.0, 12.0, 16.0, 24.0)),
-    "dup_line_ratio": ("n_dup_lines / n_lines", (0.2, 0.3, 0.4, 0.5, 0.6, 0.8)),
-    "repeat_ratio": ("n_repeat_words / n_words", (0.1, 0.15, 0.2, 0.25)),
+    "symbol_ratio": ("n_symbols / n_words", (1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02)),
+    "word_length": ("word_chars / n_words", (24.0, 16.0, 12.0, 10.0, 9.0, 8.0, 7.5)),
+    "dup_line_ratio": ("n_dup_lines / n_lines", (0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
+    "repeat_ratio": ("n_repeat_words / n_words", (0.25, 0.2, 0.15, 0.1)),
 }
 
 
@@ -107,26 +108,42 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(steps, start, add, lambda acc: F.least(F.lit(1.0), acc["s"])))
 
 
+def _strictness(name: str) -> Column:
+    """Place of the first cutoff in a signal's sequence, loosest first, that rejects a row; the sequence's length if none does."""
+    cuts, value = SIGNALS[name][1], signal("_q", name)
+    first = F.lit(len(cuts))
+    for i in range(len(cuts) - 1, -1, -1):
+        first = F.when(value > cuts[i], F.lit(i)).otherwise(first)
+    return first
+
+
 def cutoffs(labelled: DataFrame, rules: Rules) -> DataFrame:
     """``stratum`` and one certified cutoff per signal (null where none is) from ``stratum, good boolean, held_out boolean, _q``.
 
-    Rows that fail the base rules take no part.  The result has a row per stratum that has labels.
+    Rows that fail the base rules take no part.  The result has a row per stratum for which a combination is certified.
     """
-    grid = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(float(c)).alias("cut"), (signal("_q", s) > c).alias("over")) for s, (_, cuts) in SIGNALS.items() for c in cuts])
-    long = labelled.where(~base_failed("_q", rules)).select("stratum", "good", "held_out", F.explode(grid).alias("g")).select("stratum", "good", "held_out", "g.*")
-    cells = long.groupBy("stratum", "signal", "cut").agg(
-        F.count_if(F.col("good") & F.col("held_out")).alias("n"),
-        F.count_if(F.col("good") & F.col("held_out") & F.col("over")).alias("k"),
-        F.count_if(~F.col("good") & ~F.col("held_out") & F.col("over")).alias("junk"),
-        F.count_if(F.col("good") & ~F.col("held_out") & F.col("over")).alias("lost"),
-    )
-    strata = cells.agg(F.count_distinct(F.coalesce(F.to_json(F.struct("stratum")), F.lit(""))).alias("strata"))
-    each = rules.risk / len(SIGNALS)
-    tests = F.col("strata") * sum(len(c) for _, c in SIGNALS.values())
-    sure = cells.crossJoin(strata).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), F.lit(each)))
-    sure = sure.where((F.col("tail") <= F.lit(rules.delta) / tests) & (F.col("junk") > rules.price * F.col("lost")))
-    best = sure.groupBy("stratum", "signal").agg(F.max(F.struct((F.col("junk") - rules.price * F.col("lost")).alias("gain"), "cut")).alias("b"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == s, F.col("b.cut"))).alias(s) for s in SIGNALS])
+    firsts = {s: f"first_{s}" for s in SIGNALS}
+    passed = labelled.where(~base_failed("_q", rules)).select("stratum", "good", "held_out", *[_strictness(s).alias(n) for s, n in firsts.items()])
+    # at most the product of the sequences' lengths of rows for each stratum, counted on the map side
+    cells = passed.groupBy("stratum", "good", "held_out", *firsts.values()).count()
+    strata = passed.select("stratum").distinct().count()
+    steps = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(i).alias("place"), F.col(firsts[s]) <= i) for s, (_, cuts) in SIGNALS.items() for i in range(len(cuts))])
+    tuned = cells.where(~F.col("held_out")).select("stratum", "good", "count", F.explode(steps).alias("g")).select("stratum", "good", "count", "g.signal", "g.place", F.col("g.col3").alias("over"))
+    gains = tuned.where("over").groupBy("stratum", "signal", "place").agg(F.sum(F.when(F.col("good"), -rules.price * F.col("count")).otherwise(F.col("count"))).alias("gain"))
+    best = gains.where("gain > 0").groupBy("stratum", "signal").agg(F.max(F.struct("gain", (-F.col("place")).alias("loose"))).alias("b"))
+    chosen = best.groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == s, -F.col("b.loose"))).alias(f"at_{s}") for s in SIGNALS])
+    # step t of the fixed sequence lets every chosen signal be as strict as its place t, or as chosen
+    most = max(len(c) for _, c in SIGNALS.values())
+    good = cells.where(F.col("held_out") & F.col("good"))
+    met = good.join(chosen.withColumnRenamed("stratum", "mine"), F.col("stratum").eqNullSafe(F.col("mine")))
+    hit = lambda t: F.greatest(*[F.coalesce(F.col(n) <= F.least(F.lit(t), F.col(f"at_{s}")), F.lit(False)) for s, n in firsts.items()])
+    tests = met.groupBy("stratum", *[f"at_{s}" for s in SIGNALS]).agg(F.sum("count").alias("n"), *[F.sum(F.when(hit(t), F.col("count")).otherwise(0)).alias(f"k{t}") for t in range(most)])
+    certified = F.lit(None).cast("int")
+    for t in range(most):  # losses never fall along the sequence, so the last step that holds comes before the first that fails
+        certified = F.when(binomial_tail(F.col(f"k{t}"), F.col("n"), F.lit(rules.risk)) <= F.lit(rules.delta) / max(strata, 1), F.lit(t)).otherwise(certified)
+    sure = tests.withColumn("certified", certified).where(F.col("certified").isNotNull())
+    cut = lambda s: F.when(F.col(f"at_{s}").isNotNull(), F.array(*[F.lit(float(c)) for c in SIGNALS[s][1]])[F.least("certified", f"at_{s}")])
+    return sure.select("stratum", *[cut(s).alias(s) for s in SIGNALS])
 
 
 def judged(counted: DataFrame, cuts: DataFrame, rules: Rules, stratum: Column) -> DataFrame:
