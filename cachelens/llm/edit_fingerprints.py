@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import dropped, release, slices, workspace, written
-from cachelens.llm.components import components
+from cachelens.llm.common import dropped, release, scope, slices, workspace, written
+from cachelens.llm.components import components, smallest_of
 
 SEGMENT, WINDOW, BINS = 1024, 16, 128
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 PAIRS = 1 << 16  # compared at once
 EMPTY = np.uint32(0xFFFFFFFF)
+FEW = 16  # readers that are finished one by one
 _walk: list[np.ndarray] = []
+_listed: list[tuple[int, int, int]] = []
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -113,7 +115,7 @@ def _walked(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     who, at, stop, t = np.arange(len(start)), start.copy(), end.copy(), 0
     mins = np.full((BINS, len(start)), EMPTY)
     with np.errstate(over="ignore"):
-        while len(who):
+        while len(who) > FEW:
             room = int((stop - at).min())
             masked = room < 16
             until = t + (32 if masked else room)
@@ -142,9 +144,38 @@ def _walked(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             if not alive.all():
                 out[who[~alive]] = mins[:, ~alive].T
                 who, at, stop, mins = who[alive], at[alive], stop[alive], np.ascontiguousarray(mins[:, alive])
+    for k in range(len(who)):
+        out[who[k]] = _alone(buf[at[k] : stop[k]].tolist(), t, mins[:, k].tolist())
     return out
 
 
+def _alone(chars: list[int], t: int, least: list[int]) -> list[int]:
+    """The same walk for one reader, from step ``t``; for a few long ones this is faster than arrays of their number."""
+    steps, k = _steps(t + 2 * len(chars)), 0
+    while k < len(chars):
+        c, reads = chars[k], True
+        while reads:
+            if t == len(steps):
+                steps = _steps(2 * t)
+            mul, add, b = steps[t]
+            x = (c * mul + add) & 0xFFFFFFFF
+            x = ((x ^ x >> 16) * 0x7FEB352D) & 0xFFFFFFFF
+            x ^= x >> 15
+            if x < least[b]:
+                least[b] = x
+            t += 1
+            reads = x < 0x80000000
+        k += 1
+    return least
+
+
+def _steps(n: int) -> list[tuple[int, int, int]]:
+    """``walk`` as a list."""
+    if len(_listed) < n:
+        _listed[:] = list(zip(*[x.tolist() for x in walk(n)]))
+    return _listed
+
+
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -201,11 +232,10 @@ def _finished(rows: list[tuple], held: tuple | None) -> pa.RecordBatch:
     pairs = [(r, n) for r, n in zip(every, every[1:]) if r[0] == n[0]]
     last = [r for r, n in zip(every, every[1:]) if r[0] != n[0]]
     first = [n for r, n in zip(every, every[1:]) if r[0] != n[0]] + ([] if held else rows[:1])
-    own = sketches([r[2] for r in every])
-    at = {id(r): k for k, r in enumerate(every)}
-    mine, nexts = own[[at[id(r)] for r, _ in pairs]], own[[at[id(n)] for _, n in pairs]]
     new = [edited(r[2], n[2]) for r, n in pairs]
-    other = sketches(new)
+    both = sketches([r[2] for r in every] + new)  # in one call, as the last steps of the longest walks are slow
+    at = {id(r): k for k, r in enumerate(every)}
+    mine, nexts, other = both[[at[id(r)] for r, _ in pairs]], both[[at[id(n)] for _, n in pairs]], both[len(every) :]
     done = pa.RecordBatch.from_arrays(
         [pa.array(x, f.type) for x, f in zip([[r[0] for r, _ in pairs], [0] * len(pairs), [r[1] for r, _ in pairs], [len(r[2]) for r, _ in pairs], [hashlib.sha256(x.encode()).hexdigest() for x in new], as_text(mine), as_text(other), likeness(mine, other), likeness(mine, nexts), [None] * len(pairs)], _SCHEMA)],
         schema=_SCHEMA,
@@ -238,36 +268,28 @@ def fingerprint(text):
     return run(text)
 
 
-def edit_fingerprints(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: int = 100_000) -> DataFrame:
+def edit_fingerprints(docs: DataFrame, rows_per_bucket: int = 4000, most_buckets: int = 100_000) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every row of ``docs`` (``doc_id``, ``text``).
 
     The edited text takes its last half from the next row by descending ``doc_id``; the last row is followed by the first.  Null texts are
-    empty.  Rows that share an id follow each other by text; rows without an id come last, by text.  Empty texts have the fingerprint without any bin,
+    empty.  Rows that share an id follow each other by a hash of the text and then the text; rows without an id come last, likewise.  Empty texts have the fingerprint without any bin,
     and are wholly alike.  A single row is its own next one; an empty table gives an empty result; other columns are ignored.
 
-    Ids are cut into buckets at their quantiles, a bucket's rows are sorted in its task and read in a stream, and only each bucket's two
-    edge rows are joined across buckets.
+    Rows are dealt over partitions by ranges of (id, hash of the text), so that neither rows without an id nor those of one id need share
+    one; a partition's rows are sorted in its task and read in a stream, and only its two edge rows are joined across partitions.
     """
     spark, home = docs.sparkSession, workspace(docs.sparkSession, "edits")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = base.count()
-    k = max(1, min(most_buckets, n // rows_per_bucket))
-    cuts = np.unique(np.array(base.approxQuantile("doc_id", [i / k for i in range(1, k)], 1 / (4 * k)) if k > 1 else [], np.int64))
-
-    @F.arrow_udf("long")
-    def bucket(ids: pa.Array) -> pa.Array:
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        b = np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="right")
-        return pa.array(np.where(null, -1, b))
-
-    placed = base.withColumn("b", bucket("doc_id")).repartition("b")
-    ordered = placed.sortWithinPartitions(F.desc("b"), F.desc_nulls_last("doc_id"), "text").select("b", "doc_id", "text")
+    k = max(1, min(most_buckets, base.count() // rows_per_bucket))
+    order = F.desc_nulls_last("doc_id"), F.asc("h")
+    ranged = base.withColumn("h", F.xxhash64("text")).repartitionByRange(k, *order)
+    ordered = ranged.sortWithinPartitions(*order, "text").select(F.spark_partition_id().cast("long").alias("b"), "doc_id", "text")
     rows = written(ordered.mapInArrow(_along, _DDL), f"{home}/rows")
-    del placed, ordered
+    del ranged, ordered
     release(spark)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     # one row per bucket, bounded by most_buckets + 1
-    present = sorted((r["b"] for r in rows.where("role = 2").select("b").collect()), reverse=True)
+    present = sorted((r["b"] for r in rows.where("role = 2").select("b").collect()))
     after = spark.createDataFrame(list(zip(present, present[1:] + present[:1])), "b long, nb long")
     first = rows.where("role = 1").select(F.col("b").alias("nb"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     edge = rows.where("role = 2").select("b", "doc_id", "n_chars", "fingerprint", "text").join(after, "b").join(first, "nb")
@@ -352,7 +374,7 @@ def fingerprint_groups(prints: DataFrame, bands: int = 32, width: int = 6, thres
 
     ``at_once`` bands are shuffled in one pass, which bounds the disk and not the pairs.
     """
-    spark, home = prints.sparkSession, workspace(prints.sparkSession, "edit-groups")
+    spark, home, kept = prints.sparkSession, workspace(prints.sparkSession, "edit-groups"), workspace(prints.sparkSession, "edit-named")
     rng = np.random.default_rng(9)
     places = [rng.choice(BINS, width, replace=False).tolist() for _ in range(bands)]
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), f"{home}/distinct")
@@ -373,9 +395,12 @@ def fingerprint_groups(prints: DataFrame, bands: int = 32, width: int = 6, thres
         dropped(spark, f"{home}/crowds-{k}", f"{home}/tiles-{k}")
         del banded, crowds, held, shown, tiles, later, across, within
         release(spark)
-    groups = components(edges).select(F.col("node").alias("id"), "component")
-    member = distinct.join(groups, "id", "left").select("fingerprint", "least", F.coalesce("component", "id").alias("component"))
-    out = written(member.join(member.groupBy("component").agg(F.min("least").alias("group_id")), "component").select("fingerprint", "group_id"), f"{home}/named")
+    with scope(spark):
+        groups = components(edges)
+        members = distinct.select("id", "least")
+        named = smallest_of(members, groups, "id", "group_id").join(distinct.select("id", "fingerprint"), "id").select("fingerprint", "group_id")
+        out = written(named, kept)
+    dropped(spark, home)
     release(spark)
     return out
 
