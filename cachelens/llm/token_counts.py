@@ -151,12 +151,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
 
 
 def stored(spark: SparkSession, home: str) -> DataFrame:
-    """The cache of one tokenizer version; empty when nothing has been written yet."""
+    """The cache of one tokenizer version, one row per digest, however often runs appended it; empty when nothing has been written yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
     schema = "digest string, n_bytes long, n_tokens long"
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(home)
+    return spark.read.schema(schema).parquet(home).dropDuplicates(["digest"])
 
 
 def clear_cache(spark: SparkSession, cache: str) -> None:
@@ -166,13 +166,16 @@ def clear_cache(spark: SparkSession, cache: str) -> None:
 
 def _encoder(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(resolve(tokenizer)).count
+        count, last = counter(resolve(tokenizer)).count, None
         for b in batches:
-            n_bytes, n_tokens = [], []
-            for t in b.column("text"):
-                t = t.as_py()
+            digests, n_bytes, n_tokens = [], [], []
+            for d, t in zip(b.column("digest").to_pylist(), b.column("text")):
+                if d == last:  # rows that share id and text follow each other
+                    continue
+                last, t = d, t.as_py()
+                digests.append(d)
                 n_bytes.append(len(t.encode()))
                 n_tokens.append(count(t))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["digest", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["digest", "n_bytes", "n_tokens"])
 
     return run
