@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import handfuls, release, workspace, written
-from cachelens.llm.components import components
+from cachelens.llm.common import dropped, handfuls, release, scope, workspace, written
+from cachelens.llm.components import components, smallest_of
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,8 @@ class Near:
     shingle: int = 4
     radius: int = 4
     seed: int = 42
-    least_tile: int = 256
-    most_tile: int = 16384
+    least_tile: int = 8192
+    most_tile: int = 65536
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -142,11 +142,10 @@ def simhash_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     spark, home = docs.sparkSession, workspace(docs.sparkSession, "simhash")
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), near).alias("fp")), f"{home}/prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{home}/distinct")
-    groups = components(links(distinct.select("fp"), near))
-    # the smallest id of each component of fingerprints
-    member = distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(member.join(smallest, "component").select("fp", "component_id"), f"{home}/named")
+    with scope(spark):
+        groups = components(links(distinct.select("fp"), near))
+        named = written(smallest_of(distinct, groups, "fp", "component_id"), f"{home}/named")
+    dropped(spark, f"{home}/distinct")
     release(spark)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
