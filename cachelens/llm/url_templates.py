@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import release, workspace, written
+from cachelens.llm.common import dropped, release, workspace, written
 
 #: (host, path, verdict) of the rules that hold before any template.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -142,7 +142,8 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
             break
         here = m.where(F.size("t") >= d).select("host", F.slice("t", 1, d - 1).alias("up"), F.col("t")[d - 1].alias("seg"), "n", "bad", "good")
         kids = here.groupBy("host", "up", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        nodes = kids.groupBy("host", "up").agg(F.count("*").alias("kids"), F.sum("n").alias("all"))
+        kids = written(kids, f"{home}/{d}-counts")  # both sides of the next join are then plain tables, and Spark can split a host's level
+        nodes = written(kids.groupBy("host", "up").agg(F.count("*").alias("kids"), F.sum("n").alias("all")), f"{home}/{d}-sizes")
         rare = (F.col("kids") > tree.most_children) & (F.col("n") * tree.most_children < F.col("all"))
         named = kids.join(nodes, ["host", "up"]).withColumn("wild", F.when(rare, F.concat_ws("/", F.lit(""), "bad", "good")).otherwise(F.col("seg")))
         named = written(named.select("host", "up", "seg", "wild", "bad", "good"), f"{home}/{d}-kids")
@@ -154,8 +155,11 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         moved = keyed.join(moves, ["host", "up", "seg"], "left")
         t = F.when(F.col("into").isNotNull(), F.concat(F.slice("t", 1, d - 1), F.array("into"), F.slice("t", d + 1, F.size("t")))).otherwise(F.col("t"))
         m = written(moved.select("host", "t0", "n", "bad", "good", t.alias("t")), f"{home}/{d}")
+    found = m.join(_above(m, tree, home), ["host", "t"]).join(_elsewhere(m, home), "t0").select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), _purity(tree).alias("purity"))
+    found = written(found, workspace(spark, "purities"))
+    dropped(spark, home)
     release(spark)
-    return m.join(_above(m, tree, home), ["host", "t"]).join(_elsewhere(m, home), "t0").select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), _purity(tree).alias("purity"))
+    return found
 
 
 def _elsewhere(m: DataFrame, home: str) -> DataFrame:
