@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,20 +22,43 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests in local mode) a folder of our own is made once per session.
+    Where that setting is absent (tests in local mode) a folder of our own is made once per session; on a cluster its absence is an error,
+    as every machine would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="cachelens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new path for intermediate tables below the shared folder."""
-    return f"{shared_dir(spark)}/cachelens/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/cachelens/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all workspaces made within it.  Results that are still to be read must be written elsewhere before."""
+    n = len(_made)
+    try:
+        yield
+    finally:
+        dropped(spark, *_made[n:])
+        del _made[n:]
+
+
+def whole(docs: DataFrame) -> Column:
+    """A caller's row as one struct, so that none of its columns can clash with an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import fold, handfuls, hot_hash, slices
+from cachelens.llm.common import fold, handfuls, hot_hash, slices, whole
 
 U = np.uint64
 BLOCK = 500_000
@@ -325,7 +325,12 @@ def identify(docs: DataFrame, fit: Fit = Fit(), held_out: int = 2) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, fit: Fit = Fit(), held_out: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language, with all their columns."""
+    """The rows of ``docs`` whose text is in a learned language, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go.  Rows without an id or a language are judged like any other; repeated rows are judged one by one; an empty table
+    gives an empty result, and without any language to learn from no row stays.
+    """
     out = F.coalesce(fold(F.col("doc_id"), 4) == held_out, F.lit(False))
     model = fit_model(docs, fit, out)
-    return docs.withColumn("_p", predictor(model)("text")).where("NOT _p.rejected AND _p.lang_pred <> 'und'").select(*docs.columns)
+    judged = docs.select(whole(docs).alias("row"), predictor(model)("text").alias("p"))
+    return judged.where("NOT p.rejected AND p.lang_pred <> 'und'").select("row.*")

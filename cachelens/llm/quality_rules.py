@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import SPACE_CLASS, fold, release, workspace, written
+from cachelens.llm.common import SPACE_CLASS, fold, release, whole, workspace, written
 
 #: Signals in which larger is worse, from the counts, and their sequences of cutoffs, loosest first.  A cutoff rejects values above it.
 SIGNALS: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -191,12 +191,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rul
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns: the operator as a filter.
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names: the operator as a filter.
 
+    Null and empty texts go, as they fail the base rules; other cases are as in ``quality_rules``; an empty table gives an empty result.
     Each text is counted once: rows are written with their counts, the cutoffs are fitted on the counts, and the rows are read again.
     """
     spark = docs.sparkSession
-    counted = written(with_counts(docs), workspace(spark, "quality-rows"))
-    cuts = written(calibrated(counted, labels, rules, F.col(stratum).cast("string")), workspace(spark, "quality-cutoffs"))
+    counted = written(with_counts(docs.select(whole(docs).alias("row")), "row.text"), workspace(spark, "quality-rows"))
+    own = F.col(f"row.{stratum}").cast("string")
+    cuts = written(calibrated(counted.select("row.doc_id", "_q", own.alias("stratum")), labels, rules, F.col("stratum")), workspace(spark, "quality-cutoffs"))
     release(spark)
-    return judged(counted, cuts, rules, F.col(stratum).cast("string")).where("_kept").select(*docs.columns)
+    return judged(counted, cuts, rules, own).where("_kept").select("row.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import dropped, release, slices, workspace, written
+from cachelens.llm.common import dropped, release, slices, whole, workspace, written
 from cachelens.llm.wordhash import Lane, Words
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
@@ -222,19 +222,16 @@ def substring_dedup(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
 def dedup_texts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     """``docs`` with removed passages cut out of ``text``; rows that lose nothing keep their text as it was.
 
-    Columns stay as they are; ``n_chars``, where there is one, follows a changed text.
+    Columns stay as they are, whatever their names; ``n_chars``, where there is one, follows a changed text.  Cases are as in
+    ``substring_dedup``: null texts and ids stay null, every row stays, an empty table gives an empty result.
     """
     tie = tie_breaker(docs)
     _, changed = removals(docs, tie, cover)
-    cut = changed.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_id", "_tie"])
-    d = docs.withColumn("_mine", tie)
-    d = d.join(cut, (d["doc_id"] == cut["_id"]) & (d["_mine"] == cut["_tie"]), "left")
+    cut = changed.where("n_removed > 0").select("doc_id", "tie", F.decode("kept", "UTF-8").alias("kept")).dropDuplicates(["doc_id", "tie"])
+    d = docs.select(whole(docs).alias("row"), "doc_id", tie.alias("tie")).join(cut, ["doc_id", "tie"], "left")
     cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.coalesce("_kept", "text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
+    for f in docs.schema:
+        old = F.col("row").getField(f.name)
+        new = {"text": F.coalesce("kept", old), "n_chars": F.when(F.col("kept").isNotNull(), F.char_length("kept").cast(f.dataType)).otherwise(old)}
+        cols.append(new.get(f.name, old).alias(f.name))
     return d.select(*cols)
