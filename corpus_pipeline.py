@@ -11,31 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cachelens.llm import langid, packing, quality_rules, simhash, substring_dedup
-from cachelens.llm.common import workspace, written
+from cachelens.llm.common import scope, workspace, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or in no learned language."""
+    """Drops documents without letters (null and empty texts too) or in no learned language; cases are as in ``langid.keep_known``."""
     return langid.keep_known(docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
+    """Drops documents that the quality rules reject, null and empty texts among them; cases are as in ``quality_rules.keep_good``."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies."""
+    """Keeps the document of the smallest id of each group of near copies; rows without an id stay, cases are as in ``simhash.one_per_group``."""
     return simhash.one_per_group(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words and more that a document of a smaller id has too; every document stays, with what is left of it."""
+    """Cuts passages of 50 words and more that a document of a smaller id has too; every document stays, with what is left of it, null texts as they are."""
     return substring_dedup.dedup_texts(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens."""
+    """Packs what is left into sequences of 4096 tokens; a null text is empty and still has its end, an empty table gives no rows."""
     return packing.best_two_fit(docs)
 
 
@@ -56,9 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = workspace(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"{home}/{k}-{name}")
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scope(spark):  # what a stage wrote for itself goes once its result stands
+            docs = written(stage(spark, docs, sf_dir), f"{home}/{k}-{name}")
     return docs
 
 
