@@ -136,7 +136,7 @@ def cutoffs(labelled: DataFrame, rules: Rules) -> DataFrame:
     most = max(len(c) for _, c in SIGNALS.values())
     good = cells.where(F.col("held_out") & F.col("good"))
     met = good.join(chosen.withColumnRenamed("stratum", "mine"), F.col("stratum").eqNullSafe(F.col("mine")))
-    hit = lambda t: F.greatest(*[F.coalesce(F.col(n) <= F.least(F.lit(t), F.col(f"at_{s}")), F.lit(False)) for s, n in firsts.items()])
+    hit = lambda t: F.greatest(*[F.coalesce((F.col(n) <= t) & (F.col(n) <= F.col(f"at_{s}")), F.lit(False)) for s, n in firsts.items()])
     tests = met.groupBy("stratum", *[f"at_{s}" for s in SIGNALS]).agg(F.sum("count").alias("n"), *[F.sum(F.when(hit(t), F.col("count")).otherwise(0)).alias(f"k{t}") for t in range(most)])
     certified = F.lit(None).cast("int")
     for t in range(most):  # losses never fall along the sequence, so the last step that holds comes before the first that fails

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import dropped, handfuls, release, scope, workspace, written
+from cachelens.llm.common import dropped, handfuls, release, scope, whole, workspace, written
 from cachelens.llm.components import components, smallest_of
 
 
@@ -156,9 +156,10 @@ def simhash_near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest, with all their columns.
+    """The rows of ``docs`` whose id is their group's smallest, with all their columns, whatever their names; null and empty texts are one group.
 
     Rows without an id stay, as nothing tells which of a group they are.  Of rows that repeat one id all stay if that id is kept.
     """
     keep = simhash_groups(docs.where(F.col("doc_id").isNotNull()), near).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.select("doc_id", whole(docs).alias("row"))
+    return rows.join(keep, "doc_id", "left_semi").select("row.*").unionByName(rows.where(F.col("doc_id").isNull()).select("row.*"))
