@@ -27,6 +27,17 @@ def odd(spark):
     return df.selectExpr("*", "1 AS n_tokens", "'x' AS digest", "2L AS fp", "'k' AS stratum", "3 AS piece")
 
 
+#: Names of columns that operators use inside, or that their results have.
+INSIDE = """_p p row _kept kept _n _c _s _nl _dl _h h _rep _e _q _stratum _base_failed base_failed _salt stratum _mine _id _tie tie lo hi pos hits gone body sha digest rep fp least
+component component_id node u v b role piece start length crc row_number rank _b _r _rank _at place toxic votes count n over good held_out lang_pred score rejected n_words n_tokens""".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """The awkward rows with a column for every name that operators use inside."""
+    return spark.createDataFrame(ODD, DOC_SCHEMA).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in INSIDE], "1 AS `a.b`")
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], DOC_SCHEMA)

@@ -6,7 +6,7 @@ import pytest
 
 from cachelens.llm import queries
 from cachelens.llm.quality_rules import Rules, binomial_tail, cutoffs, keep_good, quality_rules
-from cachelens.llm.token_counts import clear_cache, token_counts
+from cachelens.llm.token_counts import clear_cache, token_counts, tokenizer_digest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +60,39 @@ def test_cache_is_used_and_appended(spark, odd, tmp_path):
     clear_cache(spark, home)
 
 
+def test_cache_with_repeated_digests(spark, odd, tmp_path):
+    """Two runs that append the same digests at once leave every document one row."""
+    home = f"file://{tmp_path}/cache"
+    first = sorted(map(tuple, token_counts(odd, cache=home).collect()), key=str)
+    at = f"{home}/tokenizer={tokenizer_digest('byte_bpe_50k.json')}"
+    spark.createDataFrame(spark.read.parquet(at).collect(), "digest string, n_bytes long, n_tokens long").write.mode("append").parquet(at)
+    assert sorted(map(tuple, token_counts(odd, cache=home).collect()), key=str) == first
+
+
+def test_rows_without_ids(spark, hf):
+    """Half the rows lack an id; many of them share a text."""
+    rows = [(None if i % 2 else i, "shared words" if i % 3 else f"own words {i}") for i in range(400)]
+    got = token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((i, len(t.encode()), len(hf.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+
+
+def test_certified_cutoffs_reject_junk(spark, sf):
+    """On the larger table some rows go by certified cutoffs alone, and hardly any labelled good one among them."""
+    big = sf.replace("sf0.001", "sf0.1")
+    rows = queries.op2_quality_rules(spark, big).join(spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")
+    gone = Counter(r.quality for r in rows.where("NOT base_failed AND NOT kept").collect())
+    good = rows.where("quality = 1 AND NOT base_failed").count()
+    assert gone[0] > 50 and gone[1] <= 0.02 * good
+
+
+def test_a_sequence_stops_at_its_first_failure(spark):
+    """Good holdout rows lose nothing to the loosest cutoffs and too much to stricter ones; junk asks for the strictest."""
+    rows = [("a", True, i % 2 == 0, 0 if i % 10 < 8 or i % 2 else 4) for i in range(4000)] + [("a", False, False, 4)] * 60 + [("a", False, False, 15)] * 60
+    df = spark.createDataFrame([(s, g, h, (100, 500, k, 10, 0, 0)) for s, g, h, k in rows], "stratum string, good boolean, held_out boolean, _q struct<n_words:long,word_chars:long,n_symbols:long,n_lines:long,n_dup_lines:long,n_repeat_words:long>")
+    assert [r.symbol_ratio for r in cutoffs(df, Rules()).collect()] == [0.05]
+
+
 def test_quality_counts_equal_brute_force(spark, sf, documents):
     got = {r.doc_id: r for r in queries.op2_quality_rules(spark, sf).collect()}
     assert len(got) == len(documents)

@@ -1,7 +1,8 @@
+import os
 from collections import Counter
 
 import corpus_pipeline
-from cachelens.llm.common import workspace, written
+from cachelens.llm.common import _made, scope, workspace, written
 from tests.llm.test_counts_and_quality import brute_quality
 from tests.llm.test_dedup_and_packing import brute_groups, brute_removed, check_packing
 
@@ -40,6 +41,33 @@ def test_run_gives_the_last_stage(spark, sf):
     assert rows and max(Counter((r.doc_id, r.piece) for r in rows).values()) == 1
 
 
+def test_callers_columns_stay_as_they_are(spark, clashing, sf):
+    """A column of any name that operators use inside passes through the filtering and cutting stages unchanged."""
+    docs, home = clashing, workspace(spark, "test")
+    own = [c for c in clashing.columns if c not in ("text", "n_chars")]
+    rows = {str(r.doc_id): {c: r[c] for c in own} for r in clashing.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, sf), f"{home}/{name}")
+        assert docs.columns == clashing.columns
+        assert all({c: r[c] for c in own} == rows[str(r.doc_id)] for r in docs.collect()), name
+    assert corpus_pipeline.STAGES[4][1](spark, clashing, sf).count() >= clashing.count()
+    cut = corpus_pipeline.STAGES[3][1](spark, clashing, sf)  # every row, also those that earlier stages drop
+    assert sorted(str(r.doc_id) for r in cut.collect()) == sorted(str(r.doc_id) for r in clashing.collect())
+    assert all({c: r[c] for c in own} == rows[str(r.doc_id)] for r in cut.collect())
+
+
+def test_stages_leave_only_results(spark, sf):
+    """After the run only the tables of the stages and the pieces that the result reads are left."""
+    before = set(_made)
+    corpus_pipeline.run(spark, sf).collect()
+    left = [p for p in set(_made) - before if os.path.isdir(p.removeprefix("file://"))]
+    assert sorted(os.path.basename(p).rsplit("-", 1)[0] for p in left) == ["pieces", "pipeline"]
+    with scope(spark):
+        path = workspace(spark, "gone")
+        written(spark.range(3), path)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_odd_and_empty_documents(spark, odd, empty, sf):
     for docs in (odd, empty):
         base = docs.select("doc_id", "text", "lang", "source", "n_chars")
