@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from cachelens.functions.keys import SHARDS
 from cachelens.operators.batching import get_batches
-from cachelens.operators.state import hits, with_generation, write_outcomes
+from cachelens.operators.state import row_hit, row_present, with_generation, with_previous, with_start, write_outcome
 from cachelens.operators.ttl import sweeps
 
-#: Names of the counters in reports, in their order.
+#: Fixed values of the report format: the names of its counters, in their order.
 COUNTERS = ("hit", "miss", "keys-added", "keys-updated", "keys-evicted", "cost-added", "cost-evicted", "sets-dropped", "sets-rejected", "gets-dropped", "gets-kept")
 NAMES = tuple(c.replace("-", "_") for c in COUNTERS)
 
@@ -21,9 +21,12 @@ def counters(log: DataFrame, buffer_items: int = 64) -> DataFrame:
     Without pressure no set is dropped or rejected; an update that raises a cost adds the difference, one that lowers it
     evicts the difference; removals and sweeps evict their row's cost.
     """
-    reads = hits(log).groupBy("cache_id").agg(F.count_if("hit").alias("hit"), F.count_if(~F.col("hit")).alias("miss"))
-    w = write_outcomes(log)
-    writes = w.groupBy("cache_id").agg(
+    # one pass: reads and writes look at the same previous write
+    d = with_previous(with_generation(with_start(log)))
+    d = d.withColumns({"present": row_present(), "_hit": row_hit()}).withColumn("outcome", write_outcome())
+    writes = d.groupBy("cache_id").agg(
+        F.count_if(F.col("op").isin("get", "get_mut") & F.col("_hit")).alias("hit"),
+        F.count_if(F.col("op").isin("get", "get_mut") & ~F.col("_hit")).alias("miss"),
         F.count_if(F.col("outcome") == "insert").alias("keys_added"),
         F.count_if(F.col("outcome") == "update").alias("keys_updated"),
         F.count_if(F.col("outcome") == "remove").alias("_removed"),
@@ -32,7 +35,7 @@ def counters(log: DataFrame, buffer_items: int = 64) -> DataFrame:
     )
     swept = sweeps(log).groupBy("cache_id").agg(F.count("*").alias("_swept"), F.sum("cost").alias("_swept_cost"))
     kept = get_batches(log, buffer_items).groupBy("cache_id").agg(F.count_if("kept").alias("gets_kept"))
-    all_ = log.select("cache_id").distinct().join(reads, "cache_id", "left").join(writes, "cache_id", "left").join(swept, "cache_id", "left").join(kept, "cache_id", "left").na.fill(0)
+    all_ = writes.join(swept, "cache_id", "left").join(kept, "cache_id", "left").na.fill(0)
     zero = F.lit(0).cast("long")
     return all_.select(
         "cache_id", "hit", "miss", "keys_added", "keys_updated", (F.col("_removed") + F.col("_swept")).alias("keys_evicted"), "cost_added", (F.col("_removed_cost") + F.col("_swept_cost")).alias("cost_evicted"),

@@ -7,9 +7,10 @@ the simulated cache, not of its log.
 
 from __future__ import annotations
 
+import heapq
 import random
 from collections import Counter, OrderedDict, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
@@ -28,12 +29,14 @@ class Frequency:
     """The aged frequency estimate: a filter for first sights, saturated cells, halving after ``counters`` reads."""
 
     def __init__(self, counters: int, ratio: float = 0.01):
+        self.age = 0  # how often estimates may have fallen
         self.counters, self.mask = counters, sketch_mask(counters)
         self.exponent, self.probes = bloom_shape(counters, ratio)
         self.clear()
 
     def clear(self) -> None:
         self.door, self.cells, self.reads = set(), {}, 0
+        self.age += 1
 
     def _bits(self, key: int) -> list[int]:
         size = (1 << self.exponent) - 1
@@ -50,6 +53,7 @@ class Frequency:
         self.reads += 1
         if self.reads >= self.counters:
             self.reads = 0
+            self.age += 1
             self.door.clear()
             self.cells = {c: n >> 1 for c, n in self.cells.items() if n > 1}
 
@@ -92,12 +96,14 @@ class Item:
 
 @dataclass
 class Ledger:
-    """The policy's view: costs by key, their sum, and the order of last use (for the ``lru`` policy)."""
+    """The policy's view: costs by key, their sum, the order of last use (for the ``lru`` policy), and the keys by number (for samples)."""
 
     config: CacheConfig
     budget: int
     costs: OrderedDict = field(default_factory=OrderedDict)
     used: int = 0
+    keys: list[int] = field(default_factory=list)
+    place: dict[int, int] = field(default_factory=dict)
 
     def room(self, cost: int) -> int:
         return self.budget - (self.used + cost)
@@ -105,22 +111,42 @@ class Ledger:
     def put(self, key: int, cost: int) -> None:
         self.costs[key] = cost
         self.used += cost
+        self.place[key] = len(self.keys)
+        self.keys.append(key)
 
     def take(self, key: int) -> int | None:
         cost = self.costs.pop(key, None)
         if cost is not None:
             self.used -= cost
+            at, last = self.place.pop(key), self.keys.pop()
+            if last != key:  # the last one takes its place
+                self.keys[at], self.place[last] = last, at
         return cost
 
+    def clear(self) -> None:
+        self.costs.clear()
+        self.keys.clear()
+        self.place.clear()
+        self.used = 0
+
     def cost(self, key: int) -> int:
         return self.costs.get(key, -1)
 
 
 class Kernel:
-    """One cache.  ``step`` takes an operation and returns decisions and events; ``finish`` ends the log."""
+    """One cache.  ``step`` takes an operation and returns decisions and events; ``finish`` ends the log.
 
-    def __init__(self, config: CacheConfig):
-        self.config = config
+    Args:
+        accepts: whether an update may replace ``(old value, old cost)`` by ``(new value, new cost)``; a refused one leaves the row as it was.
+        coster: the cost of a value that is written with cost 0.
+    """
+
+    def __init__(self, config: CacheConfig, accepts: Callable[[str | None, int, str | None, int], bool] | None = None, coster: Callable[[str | None], int] | None = None):
+        self.config, self.accepts, self.coster = config, accepts, coster
+        self.born: dict[int, int] = {}
+        self.coldest: list[tuple[int, int]] = []
+        self.coldest_age = -1
+        self.now = 0
         self.random = random.Random(config.seed)
         self.store: dict[int, Row] = {}
         self.ledger = Ledger(config, config.max_cost)
@@ -140,8 +166,12 @@ class Kernel:
     def step(self, op: str, seq: int, now: int, client: int, key: int | None, conflict: int | None, value, cost: int | None, ttl: int | None, budget: int | None) -> bool | None:
         """Carry out one operation; for reads, whether it hit."""
         self._tick(now)
+        self.now = now
         if op in ("get", "get_mut"):
-            return self._read(now, client, key, conflict or 0)
+            hit = self._read(now, client, key, conflict or 0)
+            if hit and op == "get_mut" and value is not None:
+                self.store[key].value = value  # in place: cost, time to live and version stay
+            return hit
         if op == "insert":
             self._write(seq, now, client, key, conflict or 0, value, cost or 0, ttl or 0, only_present=False)
         elif op == "insert_if_present":
@@ -192,15 +222,19 @@ class Kernel:
 
     def _write(self, seq, now, client, key, conflict, value, cost, ttl, only_present) -> None:
         row = self.store.get(key)
+        if not cost and self.coster:
+            cost = self.coster(value)
         cost += 0 if self.config.ignore_internal_cost else self.config.item_size
         if row is None:
             if only_present:
                 return
             kind = "new"
         elif conflict in (0, row.conflict):
+            if self.accepts and not self.accepts(row.value, row.cost, value, cost):
+                return
             kind = "update"
             self._unbucket(key, row)
-            self.events.append((seq, "exit", key, row.value, row.cost))
+            self.events.append((seq, "exit", key, row.value, row.cost, None))
         else:
             return
         self.version += 1
@@ -229,8 +263,8 @@ class Kernel:
         self._flush()
         for key in list(self.store):
             self._drop(key, seq, "exit")
-        self.ledger.costs.clear()
-        self.ledger.used = 0
+        self.ledger.clear()
+        self.born.clear()
         self.frequency.clear()
         self.buckets.clear()
         self.counts.clear()
@@ -249,7 +283,7 @@ class Kernel:
                 for key in sorted(self.buckets.pop(bucket)):
                     row = self.store.get(key)
                     if row is not None and row.expired(last):
-                        self._drop(key, None, "evict")
+                        self._drop(key, None, "evict", last)
                         self._unledger(key)
             self.next_clean = last + self.config.cleanup_us
 
@@ -271,8 +305,8 @@ class Kernel:
         outcome, estimate, victims = self._add(item.key, item.cost)
         self._decide(item, outcome, estimate, victims)
         for key, _ in victims:
-            if key in self.store:
-                self._drop(key, item.seq, "evict")
+            if key in self.store:  # a key that was sampled twice is gone by its second time
+                self._drop(key, item.seq, "evict", self.now)
         if outcome.startswith("Rejected"):
             self._drop(item.key, item.seq, "reject")
             self._unledger(item.key)
@@ -292,6 +326,11 @@ class Kernel:
         if cost < 0 or cost > self.ledger.budget and self.config.admission != "infinite":
             return "RejectedByCost", 0, []
         if key in self.ledger.costs:
+            before, self.ledger.costs[key] = self.ledger.costs[key], cost
+            self.ledger.used += cost - before
+            self.counts["keys_updated"] += 1
+            self.counts["cost_added"] += max(0, cost - before)
+            self.counts["cost_evicted"] += max(0, before - cost)
             return "UpdatedExisting", 0, []
         mine, victims, sample = self.frequency.estimate(key), [], []
         while self.config.admission != "infinite" and self.ledger.room(cost) < 0 and self.ledger.costs:
@@ -299,8 +338,11 @@ class Kernel:
             if self.config.admission == "tinylfu" and mine < self.frequency.estimate(victim):
                 self.counts["sets_rejected"] += 1
                 return "RejectedBySampling", mine, victims
-            victims.append((victim, self._unledger(victim)))
+            victims.append((victim, self._unledger(victim)))  # no cost for one that is gone
         self.ledger.put(key, cost)
+        self.born[key] = self.now
+        if self.coldest_age == self.frequency.age:
+            heapq.heappush(self.coldest, (mine, key))
         self.counts["keys_added"] += 1
         self.counts["cost_added"] += cost
         return "Admitted", mine, victims
@@ -310,17 +352,32 @@ class Kernel:
         if self.config.admission == "lru":
             return next(iter(costs))
         if self.config.victim == "exact":
-            return min(costs, key=lambda k: (self.frequency.estimate(k), k))
-        keys = list(costs)
-        while len(sample) < self.config.samples:
-            sample.append(keys[self.random.randrange(len(keys))])
+            return self._coldest()
+        keys = self.ledger.keys
+        missing = min(self.config.samples - len(sample), len(keys))
+        if missing > 0:  # distinct residents, though one may be in the sample already
+            sample += [keys[i] for i in self.random.sample(range(len(keys)), missing)]
         best = min(range(len(sample)), key=lambda i: self.frequency.estimate(sample[i]))
         victim = sample[best]
         sample[best] = sample[-1]
         sample.pop()
-        sample[:] = [k for k in sample if k != victim]
         return victim
 
+    def _coldest(self) -> int:
+        """The resident of least estimate, then of least key, from a heap.  Between ages estimates only grow, so a stale entry is never too high."""
+        if self.coldest_age != self.frequency.age:
+            self.coldest = [(self.frequency.estimate(k), k) for k in self.ledger.costs]
+            heapq.heapify(self.coldest)
+            self.coldest_age = self.frequency.age
+        while True:
+            noted, key = self.coldest[0]
+            if key not in self.ledger.costs:
+                heapq.heappop(self.coldest)
+            elif (now := self.frequency.estimate(key)) != noted:
+                heapq.heapreplace(self.coldest, (now, key))
+            else:
+                return key
+
     # --- bookkeeping
 
     def _unledger(self, key: int) -> int | None:
@@ -334,10 +391,13 @@ class Kernel:
         if row.ttl_us and row.bucket in self.buckets:
             self.buckets[row.bucket].discard(key)
 
-    def _drop(self, key: int, seq: int | None, kind: str) -> None:
+    def _drop(self, key: int, seq: int | None, kind: str, now: int | None = None) -> None:
+        """``now`` is given for evictions and sweeps alone, which end a life: whole seconds since admission."""
         row = self.store.pop(key)
         self._unbucket(key, row)
-        self.events.append((seq, kind, key, row.value, row.cost))
+        born = self.born.pop(key, None)
+        life = (now - born) // 1_000_000 if now is not None and born is not None else None
+        self.events.append((seq, kind, key, row.value, row.cost, life))
 
     def _decide(self, item: Item, outcome: str, estimate: int, victims: list[tuple[int, int]]) -> None:
         self.decisions.append((item.seq, item.key, outcome, item.cost, estimate, [{"key": k, "cost": c or 0} for k, c in victims], self.ledger.used, self.ledger.budget))
@@ -345,7 +405,7 @@ class Kernel:
 
 FIELDS = ("op", "seq", "ts_us", "client_id", "key_index", "key_conflict", "value", "cost", "ttl_us", "new_max_cost")
 DECISIONS = "config_id string, cache_id string, seq long, key_index long, outcome string, cost long, inc_hits long, victims array<struct<key:long,cost:long>>, used long, max_cost long"
-FEED = "config_id string, cache_id string, seq long, kind string, key_index long, value string, cost long"
+FEED = "config_id string, cache_id string, seq long, kind string, key_index long, value string, cost long, life_s long"
 LEDGER = "config_id string, cache_id string, key_index long, cost long, stored boolean"
 METRICS = "config_id string, cache_id string, " + ", ".join(f"{n} long" for n in NAMES) + ", used long, max_cost long"
 
@@ -357,11 +417,12 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what: str = "metrics") -> DataFrame:
+def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what: str = "metrics", accepts: Callable | None = None, coster: Callable | None = None) -> DataFrame:
     """Replay every cache of ``log`` under every configuration.
 
     Args:
         what: ``metrics`` (a row per cache), ``decisions``, ``feed`` or ``ledger`` (the residents at the end).
+        accepts, coster: as in ``Kernel``.
 
     The log is given once per configuration, each (configuration, cache) is one group, and groups are sorted and streamed in their partition.
     """
@@ -397,7 +458,7 @@ def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what:
                     if kernel is not None:
                         kernel.finish()
                         out += rows_of(group, kernel, True)
-                    group, kernel = r[:2], Kernel(CacheConfig(**plain[r[0]]))
+                    group, kernel = r[:2], Kernel(CacheConfig(**plain[r[0]]), accepts, coster)
                 kernel.step(*r[2:])
                 if what == "metrics":
                     kernel.decisions.clear()

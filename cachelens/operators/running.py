@@ -19,17 +19,28 @@ def running_sum(df: DataFrame, value: Column, by: list[str], order: str, name: s
 
     ``order`` must be a unique integer within a group.  Null ``by`` values form a group like any other.
     """
+    d = _running(df, value, F.sum, by, order, block, inclusive)
+    return d.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce("_in", F.lit(0))).drop("_before", "_in")
+
+
+def running_max(df: DataFrame, value: Column, by: list[str], order: str, name: str, block: int = BLOCK, inclusive: bool = False) -> DataFrame:
+    """``df`` with the greatest non-null ``value`` of the earlier rows of the same ``by`` (with this one if ``inclusive``); null if there is none."""
+    return _running(df, value, F.max, by, order, block, inclusive).withColumn(name, F.greatest("_before", "_in")).drop("_before", "_in")
+
+
+def _running(df: DataFrame, value: Column, total, by: list[str], order: str, block: int, inclusive: bool) -> DataFrame:
+    """``df`` with ``_before`` over earlier blocks and ``_in`` over this one, null where there are no rows."""
     d = df.withColumns({"_blk": F.floor(F.col(order) / block).cast("long"), "_val": value.cast("long")})
-    totals = d.groupBy(*by, "_blk").agg(F.sum("_val").alias("_tot"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_tot").over(Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = d.groupBy(*by, "_blk").agg(total("_val").alias("_tot"))
+    before = totals.withColumn("_before", total("_tot").over(Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*by, "_blk"])], "_before")
     inside = Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
+    d = d.withColumn("_in", total("_val").over(inside))
     match = None
     for i, c in enumerate([*by, "_blk"]):
         same = d[c].eqNullSafe(before[f"_g{i}"])
         match = same if match is None else match & same
-    return d.join(before, match).withColumn(name, F.col("_before") + F.col("_in")).drop("_blk", "_val", "_in", "_before", *[f"_g{i}" for i in range(len(by) + 1)])
+    return d.join(before, match).drop("_blk", "_val", *[f"_g{i}" for i in range(len(by) + 1)])
 
 
 def position(df: DataFrame, by: list[str], order: str, name: str, block: int = BLOCK) -> DataFrame:

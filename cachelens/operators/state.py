@@ -41,11 +41,26 @@ def conflict_matches(given: Column, row: Column) -> Column:
     return (given == 0) | (given == row)
 
 
+def row_hit() -> Column:
+    """A row is there, unexpired, of a matching conflict."""
+    return F.coalesce(row_exists() & unexpired() & conflict_matches(F.col("key_conflict"), F.col("prev.key_conflict")), F.lit(False))
+
+
+def row_present(cleanup_us: int = CLEANUP_US) -> Column:
+    """A row still stands, expired or not: no tick has swept it yet."""
+    swept = swept_at(F.col("prev.ts_us"), F.col("prev.ttl_us"), F.col("start_us"), cleanup_us)
+    return row_exists() & F.coalesce(swept > F.col("ts_us"), F.lit(True))
+
+
+def write_outcome() -> Column:
+    """insert, update, remove or absent, by ``op`` and ``present``; null for other operations."""
+    inserts = F.when(F.col("op") == "insert", F.when(F.col("present"), "update").otherwise("insert"))
+    return inserts.when(F.col("op") == "remove", F.when(F.col("present"), "remove").otherwise("absent"))
+
+
 def hits(log: DataFrame) -> DataFrame:
-    """Reads with ``hit``: a row is there, unexpired, of a matching conflict."""
-    d = with_previous(with_generation(log))
-    hit = row_exists() & unexpired() & conflict_matches(F.col("key_conflict"), F.col("prev.key_conflict"))
-    return d.where(F.col("op").isin("get", "get_mut")).withColumn("hit", F.coalesce(hit, F.lit(False)))
+    """Reads with ``hit``, as ``row_hit`` tells."""
+    return with_previous(with_generation(log)).where(F.col("op").isin("get", "get_mut")).withColumn("hit", row_hit())
 
 
 def with_start(log: DataFrame) -> DataFrame:
@@ -68,12 +83,8 @@ def swept_at(created: Column, ttl: Column, start: Column, cleanup_us: int = CLEA
 
 def write_outcomes(log: DataFrame, cleanup_us: int = CLEANUP_US) -> DataFrame:
     """Inserts and removes with ``present`` (a row still stands, expired or not) and ``outcome`` (insert, update, remove, absent)."""
-    d = with_previous(with_generation(with_start(log)))
-    swept = swept_at(F.col("prev.ts_us"), F.col("prev.ttl_us"), F.col("start_us"), cleanup_us)
-    present = row_exists() & F.coalesce(swept > F.col("ts_us"), F.lit(True))
-    d = d.where(F.col("op").isin("insert", "remove")).withColumn("present", present)
-    outcome = F.when(F.col("op") == "insert", F.when(F.col("present"), "update").otherwise("insert")).otherwise(F.when(F.col("present"), "remove").otherwise("absent"))
-    return d.withColumn("outcome", outcome)
+    d = with_previous(with_generation(with_start(log))).where(F.col("op").isin("insert", "remove"))
+    return d.withColumn("present", row_present(cleanup_us)).withColumn("outcome", write_outcome())
 
 
 def versions(log: DataFrame) -> DataFrame:

@@ -109,7 +109,10 @@ def policy_sweep(spark, sf_dir):
 
 def home(spark) -> str:
     """A new folder below the shared one, for stream checkpoints and sinks."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cachelens-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="cachelens-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

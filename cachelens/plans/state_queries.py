@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cachelens.functions import keys
 from cachelens.operators import batching, cost, feed, histogram, metrics, state, ttl
-from cachelens.operators.running import last_before
+from cachelens.operators.running import last_before, running_max, running_sum
 from cachelens.sources.oplog import from_documents, from_events, from_lineitem, table
 
 QUERIES, ORACLE = {}, {}
@@ -271,11 +271,41 @@ def conflict_lookup(spark, sf_dir):
     return d.join(owner, "key_index", "left").groupBy("op").agg(F.count("*").alias("n"), F.count_if((F.col("since") < F.col("seq")) & match).alias("matched"), F.count_if((F.col("since") < F.col("seq")) & ~match).alias("refused"))
 
 
-@query(LOG + "SELECT cache_id, seq, key_index, cost, NOT present OR cost > p.cost AS accepted FROM look WHERE op = 'insert'")
-def update_validator_static(spark, sf_dir):
-    """An update is accepted only if its cost exceeds that of the last written value."""
-    d = state.write_outcomes(events(spark, sf_dir)).where("op = 'insert'")
-    return d.select("cache_id", "seq", "key_index", "cost", (~F.col("present") | (F.col("cost") > F.col("prev.cost"))).alias("accepted"))
+@query("""
+WITH l AS (SELECT event_id AS seq, user_id >> 1 AS key_index, (user_id & 1) + 2 AS conflict, CAST(floor(value) AS BIGINT) AS cost, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'insert' END AS op FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+g AS (SELECT *, count(*) FILTER (WHERE op = 'remove') OVER (PARTITION BY key_index ORDER BY seq) AS life FROM l),
+o AS (SELECT key_index, life, min_by(conflict, seq) AS owner, min(seq) AS since FROM g WHERE op = 'insert' GROUP BY ALL),
+j AS (SELECT g.*, owner, since FROM g JOIN o USING (key_index, life) WHERE op = 'insert'),
+r AS (SELECT *, max(CASE WHEN conflict = owner THEN cost END) OVER (PARTITION BY key_index, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS standing FROM j)
+SELECT seq, key_index, CASE WHEN seq = since THEN 'NotExist' WHEN conflict <> owner THEN 'Conflict' WHEN cost <= standing THEN 'Reject' ELSE 'Update' END AS outcome, CASE WHEN seq > since THEN standing END AS standing FROM r""")
+def update_validator(spark, sf_dir):
+    """P6, U4, ST4: what each write finds if an update must cost more than the value that stands.
+
+    A refused update leaves the standing value, so that value's cost is the greatest of its owner's since the row was made; the first writer owns a
+    row until a removal.
+    """
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("insert")
+    d = e.select(F.col("event_id").alias("seq"), F.shiftright("user_id", 1).alias("key_index"), (F.col("user_id").bitwiseAND(F.lit(1)) + 2).alias("conflict"), F.floor("value").cast("long").alias("cost"), op.alias("op"))
+    d = running_sum(d, F.when(F.col("op") == "remove", 1).otherwise(0), ["key_index"], "seq", "life").where("op = 'insert'")
+    owner = d.groupBy("key_index", "life").agg(F.min_by("conflict", "seq").alias("owner"), F.min("seq").alias("since"))
+    d = running_max(d.join(owner, ["key_index", "life"]), F.when(F.col("conflict") == F.col("owner"), F.col("cost")), ["key_index", "life"], "seq", "standing")
+    outcome = F.when(F.col("seq") == F.col("since"), "NotExist").when(F.col("conflict") != F.col("owner"), "Conflict").when(F.col("cost") <= F.col("standing"), "Reject").otherwise("Update")
+    return d.select("seq", "key_index", outcome.alias("outcome"), "standing")
+
+
+@query("""
+WITH l AS (SELECT event_id AS seq, user_id AS key_index, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'get_mut' WHEN 'view' THEN 'get' WHEN 'error' THEN 'remove' END AS op FROM events WHERE event_type <> 'click'),
+p AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('insert', 'remove') THEN op END IGNORE NULLS) OVER (PARTITION BY key_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'insert', false) AS present FROM l),
+v AS (SELECT *, last_value(CASE WHEN op = 'insert' OR op = 'get_mut' AND present THEN seq END IGNORE NULLS) OVER (PARTITION BY key_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS written FROM p)
+SELECT seq, key_index, present AS hit, CASE WHEN present THEN 'v' || written END AS value FROM v WHERE op = 'get'""")
+def get_mut_values(spark, sf_dir):
+    """ST2, L6, L7: values that reads see where mutable reads write in place; a write to no row is lost."""
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "purchase", "get_mut").when(F.col("event_type") == "view", "get").otherwise("remove")
+    d = table(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key_index"), op.alias("op"))
+    d = last_before(d, F.col("op").isin("insert", "remove"), F.struct("op"), ["key_index"], "seq", "prev").withColumn("present", F.coalesce(F.col("prev.op") == "insert", F.lit(False)))
+    d = last_before(d, (F.col("op") == "insert") | ((F.col("op") == "get_mut") & F.col("present")), F.struct("seq"), ["key_index"], "seq", "written").where("op = 'get'")
+    return d.select("seq", "key_index", F.col("present").alias("hit"), F.when(F.col("present"), F.concat(F.lit("v"), F.col("written.seq"))).alias("value"))
 
 
 @query(LOG + "SELECT cache_id, seq, live AS present, CASE WHEN live AND p.ttl_us > 0 THEN greatest(0, p.ttl_us - (ts_us - p.ts_us)) END AS remaining_us FROM look WHERE op = 'get'")
@@ -469,20 +499,24 @@ def unique_inserts(spark, sf_dir):
     return source(spark, 8, 1000).groupBy((F.col("key") % 8).alias("client")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT 18446744073709551615::UHUGEINT AS ones),
+x AS (SELECT c AS client_id, 0 AS i, ((c + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) & ones AS s FROM range(4) t(c), m
+  UNION ALL SELECT client_id, i + 1, xor(z, (z << 17) & ones) FROM (SELECT client_id, i, ones, xor(y, y >> 7) AS z FROM (SELECT client_id, i, ones, xor(s, (s << 13) & ones) AS y FROM x, m WHERE i < 1000)))
+SELECT client_id, count(*) AS n, count(DISTINCT s % 500) AS keys, CAST(max(s % 500) AS BIGINT) AS hi, CAST(sum(i * (s % 500)) AS BIGINT) AS mark FROM x WHERE i > 0 GROUP BY client_id""")
 def xorshift_trace(spark, sf_dir):
-    """Seeded xorshift keys per client (tested against a step model)."""
+    """Seeded xorshift keys per client."""
     from cachelens.sources.synthetic import xorshift_keys
 
-    return xorshift_keys(spark, 4, 1000, 400).groupBy("client_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.max("key").alias("hi"))
+    return xorshift_keys(spark, 4, 1000, 400).groupBy("client_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.max("key").alias("hi"), F.sum((F.col("n") + 1) * F.col("key")).alias("mark"))
 
 
-@query()
+@query("SELECT i // 1000 AS client_id, count(*) AS n, max(k) AS hi, CAST(sum(k * (i % 1000)) AS BIGINT) AS mark FROM (SELECT i, ('0x' || substr(md5('1:' || i), 1, 15))::BIGINT % 500 AS k FROM range(4000) t(i)) GROUP BY 1")
 def uniform_reads(spark, sf_dir):
     """Uniform reads of preloaded keys."""
     from cachelens.sources.synthetic import uniform_reads as source
 
-    return source(spark, 4, 1000, 500).groupBy("client_id").agg(F.count("*").alias("n"), F.max("key").alias("hi"))
+    return source(spark, 4, 1000, 500).groupBy("client_id").agg(F.count("*").alias("n"), F.max("key").alias("hi"), F.sum(F.col("key") * F.col("n")).alias("mark"))
 
 
 @query(LOG + "SELECT cache_id, op, count(*) AS n FROM log GROUP BY ROLLUP (cache_id, op)")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cachelens.functions.keys import md5_index
+
 #: Shifts of the 64-bit xorshift generator.
 SHIFTS = (13, 7, 17)
 
@@ -44,10 +46,10 @@ def xorshift_keys(spark: SparkSession, clients: int, ops: int, capacity: int, pe
 
 def unique_inserts(spark: SparkSession, clients: int, per_client: int) -> DataFrame:
     """``client_id, n, key``: every key once."""
-    return spark.range(clients * per_client).select((F.col("id") / per_client).cast("long").alias("client_id"), (F.col("id") % per_client).alias("n"), F.col("id").alias("key"))
+    return spark.range(clients * per_client).select(F.expr(f"id div {per_client}").alias("client_id"), (F.col("id") % per_client).alias("n"), F.col("id").alias("key"))
 
 
 def uniform_reads(spark: SparkSession, clients: int, per_client: int, capacity: int, seed: int = 1) -> DataFrame:
-    """``client_id, n, key``: reads of preloaded keys 0 .. capacity - 1, uniform by hash."""
-    key = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(capacity))
+    """``client_id, n, key``: reads of preloaded keys 0 .. capacity - 1, uniform by the md5 of seed and number."""
+    key = F.pmod(md5_index(F.concat_ws(":", F.lit(seed), F.col("id"))), F.lit(capacity))
     return unique_inserts(spark, clients, per_client).select("client_id", "n", F.col("key").alias("id")).select("client_id", "n", key.alias("key"))

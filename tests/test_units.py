@@ -256,6 +256,84 @@ def test_random_logs_keep_the_invariants(victim):
         assert all(d[6] <= 50 for d in k.decisions if d[2] == "Admitted")
 
 
+def test_samples_take_distinct_residents():
+    """FX17: a sample of three is filled to five from two residents; with one left it reaches four."""
+    k = kernel(100, victim="sampled")
+    put(k, 0, 4, 4)
+    put(k, 1, 5, 5)
+    sample = [1, 2, 3]
+    k._victim(sample)
+    assert len(sample) == 4 and len(set(sample)) == 4
+    k.ledger.take(5)
+    sample = [1, 2, 3]
+    k._victim(sample)
+    assert len(sample) == 3
+
+
+def test_a_victim_sampled_twice_is_listed_twice_and_evicted_once():
+    k = kernel(10, victim="sampled", samples=5)
+    put(k, 0, 1 << 50, 5)
+    put(k, 1, 2 << 50, 5)
+    put(k, 2, 3 << 50, 10)
+    listed = [v["key"] for v in k.decisions[-1][5]]
+    assert set(listed) == {1 << 50, 2 << 50} and k.counts["keys_evicted"] == 2 and k.ledger.used == 10
+    assert sorted(e[2] for e in k.events if e[1] == "evict") == [1 << 50, 2 << 50]
+
+
+def test_exact_victims_equal_a_search_of_all_residents():
+    rng = random.Random(6)
+    k = kernel(60, counters=32)
+    for seq in range(3000):
+        k.step(rng.choice(["get", "insert", "remove"]), seq, seq, 0, rng.randrange(60) << 50, 0, "v", rng.randrange(1, 9), 0, None)
+        if k.ledger.costs:
+            assert k._coldest() == min(k.ledger.costs, key=lambda x: (k.frequency.estimate(x), x))
+        assert sorted(k.ledger.keys) == sorted(k.ledger.costs)
+
+
+def test_mutable_reads_write_in_place():
+    k = kernel()
+    k.step("get_mut", 0, 0, 0, 1, 0, "lost", 0, 0, None)
+    assert not k.store
+    put(k, 1, 1, 3, ttl=5_000_000)
+    version = k.store[1].version
+    assert k.step("get_mut", 2, 2, 0, 1, 0, "w", 0, 0, None)
+    row = k.store[1]
+    assert (row.value, row.cost, row.ttl_us, row.version, len(k.decisions)) == ("w", 3, 5_000_000, version, 1)
+
+
+def test_a_refused_update_leaves_the_accepted_value():
+    k = Kernel(CacheConfig(num_counters=1000, max_cost=100), accepts=lambda old, old_cost, new, cost: cost > old_cost)
+    for seq, cost in enumerate((5, 3, 4, 6)):
+        put(k, seq, 1, cost, value=f"v{cost}")
+    assert (k.store[1].value, k.ledger.cost(1), k.counts["keys_updated"]) == ("v6", 6, 1)  # 4 is more than the refused 3 but less than the accepted 5
+
+
+def test_costs_by_value_and_eviction():
+    """FX28: cost is the value where it is given as 0."""
+    k = Kernel(CacheConfig(num_counters=1000, max_cost=10), coster=int)
+    put(k, 0, 1, 0, value="1")
+    assert k.ledger.cost(1) == 1
+    put(k, 1, 1, 0, value="2")
+    assert k.ledger.cost(1) == 2
+    k.step("remove", 2, 2, 0, 1, 0, None, 0, 0, None)
+    assert k.ledger.cost(1) == -1
+    for seq, (key, cost) in enumerate(((2, 3), (3, 3), (4, 3), (5, 5))):
+        put(k, 3 + seq, key, cost, value="x")
+    assert any(e[1] in ("evict", "reject") for e in k.events)
+
+
+def test_lifetimes_end_with_evictions_and_sweeps_only():
+    k = kernel(10)
+    put(k, 0, 1, 6)
+    k.step("insert", 1, 2_500_000, 0, 2, 0, "v", 6, 0, None)
+    assert [(e[1], e[2], e[5]) for e in k.events] == [("evict", 1, 2)]
+    k.step("remove", 2, 3_000_000, 0, 2, 0, None, 0, 0, None)
+    assert k.events[-1][1] == "exit" and k.events[-1][5] is None
+    k.step("insert", 3, 3_000_000, 0, 3, 0, "v", 1, 1_000_000, None)
+    k.step("get", 4, 9_000_000, 0, 9, 0, None, 0, 0, None)
+    assert k.events[-1][1] == "evict" and k.events[-1][5] in (3, 4, 5)
+
+
 def test_sampled_victims_vary():
     k = kernel(200, victim="sampled", counters=10_000)
     for i in range(200):
