@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import SPACE_CLASS, fold, release, whole, workspace, written
+from cachelens.llm.common import SPACE_CLASS, fold, release, workspace, written
 
 #: Signals in which larger is worse, from the counts, and their sequences of cutoffs, loosest first.  A cutoff rejects values above it.
 SIGNALS: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -197,8 +197,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules:
     Each text is counted once: rows are written with their counts, the cutoffs are fitted on the counts, and the rows are read again.
     """
     spark = docs.sparkSession
-    counted = written(with_counts(docs.select(whole(docs).alias("row")), "row.text"), workspace(spark, "quality-rows"))
-    own = F.col(f"row.{stratum}").cast("string")
-    cuts = written(calibrated(counted.select("row.doc_id", "_q", own.alias("stratum")), labels, rules, F.col("stratum")), workspace(spark, "quality-cutoffs"))
+    name = {c: f"own{i}" for i, c in enumerate(docs.columns)}  # so no column can clash with those of the counts
+    counted = written(with_counts(docs.toDF(*name.values()), name["text"]), workspace(spark, "quality-rows"))
+    own = F.col(name[stratum]).cast("string")
+    cuts = written(calibrated(counted.select(F.col(name["doc_id"]).alias("doc_id"), "_q", own.alias("stratum")), labels, rules, F.col("stratum")), workspace(spark, "quality-cutoffs"))
     release(spark)
-    return judged(counted, cuts, rules, own).where("_kept").select("row.*")
+    return judged(counted, cuts, rules, own).where("_kept").select(*[F.col(n).alias(c) for c, n in name.items()])
