@@ -125,8 +125,8 @@ def cutoffs(labelled: DataFrame, rules: Rules) -> DataFrame:
     firsts = {s: f"first_{s}" for s in SIGNALS}
     passed = labelled.where(~base_failed("_q", rules)).select("stratum", "good", "held_out", *[_strictness(s).alias(n) for s, n in firsts.items()])
     # at most the product of the sequences' lengths of rows for each stratum, counted on the map side
-    cells = passed.groupBy("stratum", "good", "held_out", *firsts.values()).count()
-    strata = passed.select("stratum").distinct().count()
+    cells = written(passed.groupBy("stratum", "good", "held_out", *firsts.values()).count(), workspace(labelled.sparkSession, "quality-cells"))
+    strata = cells.select("stratum").distinct().count()
     steps = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(i).alias("place"), F.col(firsts[s]) <= i) for s, (_, cuts) in SIGNALS.items() for i in range(len(cuts))])
     tuned = cells.where(~F.col("held_out")).select("stratum", "good", "count", F.explode(steps).alias("g")).select("stratum", "good", "count", "g.signal", "g.place", F.col("g.col3").alias("over"))
     gains = tuned.where("over").groupBy("stratum", "signal", "place").agg(F.sum(F.when(F.col("good"), -rules.price * F.col("count")).otherwise(F.col("count"))).alias("gain"))
