@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import dropped, release, workspace
+from cachelens.llm.common import dropped, release, workspace, written
 
 #: The encoder's version: a change of the counting rules must change it.
 RULES = "1"
@@ -139,14 +139,18 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     digest = F.sha2("text", 256).alias("digest")
     known = stored(spark, home)
     # One representative row per digest, named by its id; ids may repeat or be null, so the text decides afterwards.
+    work = workspace(spark, "token-counts")
     first = docs.select(digest, F.coalesce("doc_id", F.lit(-(2**63))).alias("rep")).groupBy("digest").agg(F.min("rep").alias("rep"))
+    first = written(first, f"{work}/digests")
     misses = first.join(known.select("digest"), "digest", "left_anti").select("digest", "rep")
     # The id is unique per row in a sound table, so this join spreads evenly even where one text fills a third of it.
     todo = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("rep"), "text").join(misses, "rep").where(F.sha2("text", 256) == F.col("digest")).select("digest", "text")
     encoded = todo.mapInArrow(_encoder(tokenizer), "digest string, n_bytes long, n_tokens long")
     encoded.dropDuplicates(["digest"]).write.mode("append").parquet(home)
     release(spark)
-    counts = stored(spark, home)
+    # the counts of these digests alone, written before they are joined, so that Spark can split a text that very many rows hold
+    counts = written(first.select("digest").join(stored(spark, home), "digest"), f"{work}/counts")
+    dropped(spark, f"{work}/digests")
     return docs.select("doc_id", digest).join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
