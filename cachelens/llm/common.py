@@ -82,13 +82,19 @@ def release(spark: SparkSession) -> None:
 
     Memory that the driver's Python has freed is returned as well.  The cleaner works in the background; the short wait lets it finish before the next stage writes.
     """
-    gc.collect()
-    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)  # what Python has freed goes back to the system
+    tidy()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.5)
 
 
+def tidy() -> None:
+    """What a Python worker has freed goes back to the system, so that workers waiting between stages are small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the decimal text of ``doc_id`` modulo ``k``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

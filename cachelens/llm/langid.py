@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import fold, handfuls, hot_hash, slices, whole
+from cachelens.llm.common import fold, handfuls, hot_hash, slices, tidy, whole
 
 U = np.uint64
 BLOCK = 500_000
@@ -295,18 +295,21 @@ def fit_model(docs: DataFrame, fit: Fit = Fit(), skip: Column | None = None) ->
 def predictor(model: Model):
     """An Arrow UDF from a text to ``struct<lang_pred, score, rejected>``."""
 
+    def judged(batch: pa.Array) -> pa.Array:
+        lang, score, out = [], [], []
+        for texts in handfuls(batch):
+            for a, z in slices([t or "" for t in texts], BLOCK):
+                l, s, r = model.predict(texts[a:z])
+                lang += l
+                score.append(s)
+                out.append(r)
+        cols = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(out) if out else [], pa.bool_())]
+        return pa.StructArray.from_arrays(cols, names=["lang_pred", "score", "rejected"])
+
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            lang, score, out = [], [], []
-            for texts in handfuls(batch):
-                for a, z in slices([t or "" for t in texts], BLOCK):
-                    l, s, r = model.predict(texts[a:z])
-                    lang += l
-                    score.append(s)
-                    out.append(r)
-            cols = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(out) if out else [], pa.bool_())]
-            yield pa.StructArray.from_arrays(cols, names=["lang_pred", "score", "rejected"])
+        yield from map(judged, batches)
+        tidy()
 
     return predict
 
