@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import fold, handfuls, hot_hash, slices, tidy, whole
+from cachelens.llm.common import dropped, fold, handfuls, hot_hash, slices, tidy, whole, workspace, written
 
 U = np.uint64
 BLOCK = 500_000
@@ -28,11 +28,12 @@ _PRIME = U(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Fit:
-    """Order of the models; rows of a language's sample (expected; at most twice as many); most languages; quantile of held-aside
-    deviations and the margin above it from which a text is rejected."""
+    """Order of the models; rows of a language's sample (expected; twice as many times the languages are the most of all), bytes
+    of text of all samples; most languages; quantile of held-aside deviations and the margin above it from which a text is rejected."""
 
     order: int = 4
     sample_rows: int = 400
+    sample_bytes: int = 64_000_000
     most_languages: int = 1000
     quantile: float = 0.98
     slack: float = 3.0
@@ -273,7 +274,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_model(docs: DataFrame, fit: Fit = Fit(), skip: Column | None = None) -> Model:
     """Fit on a bounded sample of the rows of ``docs`` that have a text, a language and an id, leaving out ``skip``.
 
-    The sample takes each language's rows by a hash of the id, ``fit.sample_rows`` of them expected; a quarter calibrates.
+    The sample takes each language's rows by a hash of the id, ``fit.sample_rows`` of them expected; a quarter calibrates.  Of rows that share id and
+    language the least text stands for all.  Should the sample still pass its bounds on rows or bytes, those of the least hashes stay.
     """
     use = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if skip is not None:
@@ -285,8 +287,15 @@ def fit_model(docs: DataFrame, fit: Fit = Fit(), skip: Column | None = None) ->
         return train([], [], fit)
     rate = F.create_map(*[v for l, n in sorted(counts.items()) for v in (F.lit(l), F.lit(min(1.0, fit.sample_rows / n)))])
     key = hot_hash(F.col("doc_id"), F.lit("language sample"))
-    rows = use.where(key < rate[F.col("lang")] * F.lit(float(2**62))).select("doc_id", "lang", "text").limit(2 * fit.sample_rows * len(counts)).collect()
-    rows = sorted(((r["doc_id"], r["lang"], r["text"]) for r in rows))
+    home = workspace(docs.sparkSession, "language-sample")
+    sample = written(use.where(key < rate[F.col("lang")] * F.lit(float(2**62))).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("hash", key), home)
+    sizes = sample.select("hash", F.octet_length("text").alias("n")).orderBy("hash", "n").limit(2 * fit.sample_rows * len(counts) + 1).collect()
+    sums = np.cumsum([r["n"] for r in sizes])
+    over = [r["hash"] for i, r in enumerate(sizes) if i and (sums[i] > fit.sample_bytes or i == 2 * fit.sample_rows * len(counts))]
+    if over:
+        sample = sample.where(F.col("hash") < max(over[0], sizes[0]["hash"] + 1))
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample.select("doc_id", "lang", "text").collect())
+    dropped(docs.sparkSession, home)
     mine = [(l, t) for k, (_, l, t) in enumerate(rows) if k % 4]
     held = [(l, t) for k, (_, l, t) in enumerate(rows) if k % 4 == 0]
     return train(mine or held, held, fit)
