@@ -15,6 +15,8 @@ class CacheConfig:
 
     A zero interval takes its default.  ``victim`` is ``sampled`` (seeded) or ``exact`` (least estimate, then least key);
     lags are ``none`` or ``batch``; ``end_policy`` says whether batches still queued at the end of the log are processed.
+    With ``queue_batches`` (writes) or ``read_queue_batches`` (reads) above 0, full batches of a lagged cache wait in a line of so many for a
+    processor that takes ``service_us`` for each; a batch that finds the line full is dropped.  At 0, the default, nothing is dropped.
     """
 
     num_counters: int
@@ -33,6 +35,9 @@ class CacheConfig:
     admission_lag: str = "none"
     freq_lag: str = "none"
     end_policy: str = "process"
+    queue_batches: int = 0
+    read_queue_batches: int = 0
+    service_us: int = 0
 
     def __post_init__(self):
         if self.num_counters <= 0:
@@ -43,7 +48,9 @@ class CacheConfig:
             raise errors.InvalidBufferSize("buffers must hold at least one item")
         if self.samples <= 0:
             raise errors.InvalidSamples("samples must be positive")
-        if self.drain_interval_us < 0 or self.cleanup_us < 0:
+        if self.queue_batches < 0 or self.read_queue_batches < 0:
+            raise errors.InvalidBufferSize("lines must not be of negative length")
+        if min(self.drain_interval_us, self.cleanup_us, self.service_us) < 0:
             raise errors.InvalidInterval("intervals must not be negative")
         for name, allowed in (("victim", ("sampled", "exact")), ("admission", ("tinylfu", "lru", "infinite")), ("admission_lag", ("none", "batch")), ("freq_lag", ("none", "batch")), ("end_policy", ("process", "rollback"))):
             if getattr(self, name) not in allowed:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import random
-from collections import Counter, OrderedDict, defaultdict
+from collections import Counter, OrderedDict, defaultdict, deque
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
@@ -133,6 +133,29 @@ class Ledger:
         return self.costs.get(key, -1)
 
 
+class Line:
+    """Batches that wait for one processor, each with the time at which it is done."""
+
+    def __init__(self, most: int, service_us: int):
+        self.most, self.service_us = most, service_us
+        self.waiting: deque[tuple[int, list]] = deque()
+        self.free_us = 0
+
+    def full(self) -> bool:
+        return len(self.waiting) >= self.most
+
+    def send(self, batch: list, now: int) -> None:
+        self.free_us = max(self.free_us, now) + self.service_us
+        self.waiting.append((self.free_us, batch))
+
+    def done(self, now: int | None = None) -> Iterator[list]:
+        """Take the batches that are done by ``now``, or all of them."""
+        while self.waiting and (now is None or self.waiting[0][0] <= now):
+            yield self.waiting.popleft()[1]
+        if now is None:
+            self.free_us = 0
+
+
 class Kernel:
     """One cache.  ``step`` takes an operation and returns decisions and events; ``finish`` ends the log.
 
@@ -153,6 +176,8 @@ class Kernel:
         self.frequency = Frequency(config.num_counters)
         self.reads: dict[int, list[int]] = defaultdict(list)
         self.queue: dict[int, list[Item]] = defaultdict(list)
+        self.line = Line(config.queue_batches, config.service_us)
+        self.read_line = Line(config.read_queue_batches, config.service_us)
         self.buckets: dict[int, set[int]] = defaultdict(set)
         self.counts = Counter()
         self.version = self.generation = 0
@@ -191,12 +216,8 @@ class Kernel:
         if self.config.end_policy == "process":
             self._flush()
             return
-        for items in self.queue.values():
-            for i in items:
-                row = self.store.get(i.key)
-                if i.kind == "new" and row is not None and row.version == i.version:
-                    self._drop(i.key, i.seq, "reject")
-                self.counts["sets_dropped"] += 1
+        for items in [*self.line.done(), *self.queue.values()]:
+            self._lose(items)
         self.queue.clear()
 
     # --- operations
@@ -209,10 +230,8 @@ class Kernel:
             batch = self.reads[client & (STRIPES - 1)]
             batch.append(key)
             if len(batch) >= self.config.buffer_items:
-                for k in batch:
-                    self.frequency.increment(k)
-                self.counts["gets_kept"] += len(batch)
-                batch.clear()
+                self.reads[client & (STRIPES - 1)] = []
+                self._send_reads(batch, now)
         row = self.store.get(key)
         hit = row is not None and conflict in (0, row.conflict) and not row.expired(now)
         self.counts["hit" if hit else "miss"] += 1
@@ -249,18 +268,55 @@ class Kernel:
         batch.append(item)
         if len(batch) >= self.config.insert_stripe_high_water:
             self.queue[client & (STRIPES - 1)] = []
+            self._send(batch, now)
+
+    def _send_reads(self, batch: list[int], now: int) -> None:
+        if not self.config.read_queue_batches:
+            self._count_reads(batch)
+        elif self.read_line.full():
+            self.counts["gets_dropped"] += len(batch)
+            return
+        else:
+            self.read_line.send(batch, now)
+        self.counts["gets_kept"] += len(batch)
+
+    def _count_reads(self, batch: list[int]) -> None:
+        for k in batch:
+            self.frequency.increment(k)
+
+    def _send(self, batch: list[Item], now: int) -> None:
+        if not self.config.queue_batches:
             for i in batch:
                 self._process(i)
+        elif self.line.full():
+            self._lose(batch)
+        else:
+            self.line.send(batch, now)
+
+    def _lose(self, items: list[Item]) -> None:
+        """Items that no processor will see: a new row goes again, an update's value stays, a removal leaves the ledger."""
+        for i in items:
+            row = self.store.get(i.key)
+            if i.kind == "new" and row is not None and row.version == i.version:
+                self._drop(i.key, i.seq, "reject")
+            if i.kind != "update" and i.key not in self.store:
+                self._unledger(i.key)
+            self.counts["sets_dropped"] += i.kind != "delete"
 
     def _remove(self, seq: int, key: int, conflict: int) -> None:
         row = self.store.get(key)
         if row is None or conflict not in (0, row.conflict):
             return
         self._drop(key, seq, "exit")
-        self._unledger(key)
+        if self.config.queue_batches and self.config.admission_lag == "batch":  # waits its turn even in a full line
+            self.line.send([Item("delete", seq, key, conflict, row.version, self.generation, 0)], self.now)
+        else:
+            self._unledger(key)
 
     def _clear(self, seq: int) -> None:
         self._flush()
+        for batch in self.read_line.done():
+            self._count_reads(batch)
         for key in list(self.store):
             self._drop(key, seq, "exit")
         self.ledger.clear()
@@ -273,6 +329,11 @@ class Kernel:
     def _tick(self, now: int) -> None:
         if self.start is None:
             self.start, self.next_clean, self.next_drain = now, now + self.config.cleanup_us, now + self.config.drain_interval_us
+        for batch in self.line.done(now):
+            for i in batch:
+                self._process(i)
+        for batch in self.read_line.done(now):
+            self._count_reads(batch)
         if now >= self.next_drain:
             self._flush()
             self.next_drain += ((now - self.next_drain) // self.config.drain_interval_us + 1) * self.config.drain_interval_us
@@ -290,6 +351,9 @@ class Kernel:
     # --- admission
 
     def _flush(self) -> None:
+        for batch in self.line.done():
+            for i in batch:
+                self._process(i)
         for stripe in sorted(self.queue):
             items, self.queue[stripe] = self.queue[stripe], []
             for i in items:
@@ -297,6 +361,10 @@ class Kernel:
 
     def _process(self, item: Item) -> None:
         row = self.store.get(item.key)
+        if item.kind == "delete":
+            if row is None:  # else a later write has taken the index over, and its own item settles the ledger
+                self._unledger(item.key)
+            return
         if item.generation != self.generation or row is None or row.version != item.version:
             return
         if item.kind == "update" and self._updated(item):

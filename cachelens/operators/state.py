@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.operators.running import last_before, position, running_sum
+from cachelens.operators.running import last_before, position, running_max, running_sum
 
 SECOND_US, CLEANUP_US = 1_000_000, 2_000_000
 KEY = ["cache_id", "generation", "key_index"]
@@ -87,6 +87,32 @@ def write_outcomes(log: DataFrame, cleanup_us: int = CLEANUP_US) -> DataFrame:
     return d.withColumn("present", row_present(cleanup_us)).withColumn("outcome", write_outcome())
 
 
+def conditional_inserts(log: DataFrame, cleanup_us: int = CLEANUP_US) -> DataFrame:
+    """Conditional inserts (``insert_if_present``) with ``updated``: whether a row still stands, expired or not.
+
+    Such a write ends the row's time to live, so of those on one row the first decides: it comes before the sweep and the row then stays for the
+    others, or it comes after and none finds a row.  Times must not fall along ``seq``.
+    """
+    d = with_previous(with_generation(with_start(log))).where("op = 'insert_if_present'")
+    row = [*KEY, "row_seq"]
+    d = d.withColumn("row_seq", F.col("prev.seq"))
+    first = d.where("row_seq IS NOT NULL").groupBy(*row).agg(F.min_by("ts_us", "seq").alias("first_us"))
+    d = d.join(first, row, "left")
+    swept = swept_at(F.col("prev.ts_us"), F.col("prev.ttl_us"), F.col("start_us"), cleanup_us)
+    return d.withColumn("updated", row_exists() & F.coalesce(swept > F.col("first_us"), F.lit(True))).drop("row_seq", "first_us")
+
+
+def versioned_removals(log: DataFrame, by: list[str]) -> DataFrame:
+    """Removals with ``removed``, each asking for the version that the last read of its key saw: a compare-and-delete.
+
+    A row goes with the first removal that follows both its insert and a read of it; any other finds another version or no row.
+    """
+    d = running_max(log, F.when(F.col("op") == "insert", F.col("seq")), by, "seq", "made")
+    d = running_max(d, F.when(F.col("op") == "get", F.col("seq")), by, "seq", "seen").where("op = 'remove'")
+    winner = d.where("seen > made").groupBy(*by, "made").agg(F.min("seq").alias("winner"))
+    return d.join(winner, [*by, "made"], "left").withColumn("removed", F.coalesce(F.col("seq") == F.col("winner"), F.lit(False))).drop("winner")
+
+
 def versions(log: DataFrame) -> DataFrame:
     """Successful writes with ``version``, counting from 1 in each cache across clears."""
     return position(log.where("op = 'insert'"), ["cache_id"], "seq", "version")

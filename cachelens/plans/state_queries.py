@@ -257,6 +257,32 @@ def insert_if_present(spark, sf_dir):
     return d.where("op = 'insert_if_present'").select("seq", "key_index", F.coalesce(F.col("prev.op") == "insert", F.lit(False)).alias("updated"))
 
 
+@query("""
+WITH a AS (SELECT event_id AS seq, user_id AS key_index, epoch_us(ts) AS ts_us, min(epoch_us(ts)) OVER () AS start_us,
+    CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'insert_if_present' WHEN 'error' THEN 'remove' END AS op FROM events),
+p AS (SELECT *, last_value(CASE WHEN op IN ('insert', 'remove') THEN {'op': op, 'seq': seq, 'ts_us': ts_us} END IGNORE NULLS) OVER (PARTITION BY key_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stood FROM a WHERE op IS NOT NULL),
+f AS (SELECT *, first_value(ts_us) OVER (PARTITION BY key_index, stood.seq ORDER BY seq) AS first_us FROM p WHERE op = 'insert_if_present')
+SELECT seq, key_index, coalesce(stood.op = 'insert' AND first_us < start_us + CAST(ceil((((stood.ts_us + 86400000000) // 1000000 + 1) * 1000000 - start_us) / 2000000.0) AS BIGINT) * 2000000, false) AS updated FROM f""")
+def insert_if_present_ttl(spark, sf_dir):
+    """Conditional inserts of rows with a day to live, by a clock that does not run back."""
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "purchase", "insert_if_present").when(F.col("event_type") == "error", "remove")
+    d = events(spark, sf_dir).drop("op", "ttl_us", "key_index", "cache_id").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key_index"), op.alias("op")), "seq")
+    d = d.withColumns({"cache_id": F.lit("all"), "ttl_us": F.when(F.col("op") == "insert", F.lit(86_400_000_000)).otherwise(F.lit(0)).cast("long")})
+    return state.conditional_inserts(d).select("seq", "key_index", "updated")
+
+
+@query("""
+WITH l AS (SELECT event_id AS seq, user_id AS key_index, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'insert' WHEN 'view' THEN 'get' WHEN 'error' THEN 'remove' END AS op FROM events WHERE event_type <> 'click'),
+p AS (SELECT *, max(CASE WHEN op = 'insert' THEN seq END) OVER w AS made, max(CASE WHEN op = 'get' THEN seq END) OVER w AS seen FROM l WINDOW w AS (PARTITION BY key_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, min(CASE WHEN seen > made THEN seq END) OVER (PARTITION BY key_index, made) AS winner FROM p WHERE op = 'remove')
+SELECT seq, key_index, coalesce(seq = winner, false) AS removed FROM r""")
+def remove_if_version(spark, sf_dir):
+    """Removals that ask for the version which the key's last read saw; the first to match takes the row."""
+    op = F.when(F.col("event_type").isin("signup", "purchase"), "insert").when(F.col("event_type") == "view", "get").when(F.col("event_type") == "error", "remove")
+    d = table(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key_index"), op.alias("op"))
+    return state.versioned_removals(d, ["key_index"]).select("seq", "key_index", "removed")
+
+
 @query("""
 WITH l AS (SELECT event_id AS seq, user_id >> 1 AS key_index, (user_id & 1) + 2 AS conflict, CASE WHEN event_type IN ('view', 'click') THEN 'get' ELSE 'insert' END AS op FROM events WHERE event_type <> 'error'),
 o AS (SELECT key_index, min_by(conflict, seq) AS owner, min(seq) AS since FROM l WHERE op = 'insert' GROUP BY 1)

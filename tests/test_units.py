@@ -290,6 +290,74 @@ def test_exact_victims_equal_a_search_of_all_residents():
         assert sorted(k.ledger.keys) == sorted(k.ledger.costs)
 
 
+def test_a_full_line_drops_batches():
+    k = kernel(admission_lag="batch", insert_stripe_high_water=1, queue_batches=1, service_us=10, drain_interval_us=10**9)
+    put(k, 0, 1, 3)  # done at 10
+    put(k, 1, 2, 3)  # finds the line full: the row goes again
+    assert set(k.store) == {1} and k.counts["sets_dropped"] == 1 and k.events[-1][1:3] == ("reject", 2)
+    put(k, 11, 3, 3)  # the first is done
+    assert set(k.ledger.costs) == {1} and k.counts["sets_dropped"] == 1
+    put(k, 12, 1, 5, value="w")  # dropped, but an update's value stays; its cost is not settled
+    assert k.store[1].value == "w" and k.ledger.cost(1) == 3 and k.counts["sets_dropped"] == 2
+    k.step("wait", 13, 13, 0, None, None, None, None, None, None)
+    assert set(k.ledger.costs) == {1, 3}
+    plain = kernel(admission_lag="batch", insert_stripe_high_water=1, drain_interval_us=10**9)
+    for seq in range(50):
+        put(plain, seq, seq, 1)
+    assert plain.counts["sets_dropped"] == 0
+
+
+def test_full_read_lines_drop_reads():
+    k = kernel(freq_lag="batch", buffer_items=2, read_queue_batches=1, service_us=10, drain_interval_us=10**9)
+    for seq in range(6):
+        k.step("get", seq, seq, 0, 7, 0, None, 0, 0, None)
+    assert (k.counts["gets_kept"], k.counts["gets_dropped"], k.frequency.reads) == (2, 4, 0)
+    k.step("get", 20, 20, 0, 7, 0, None, 0, 0, None)
+    assert k.frequency.reads == 2
+
+
+def test_queued_removals_leave_the_ledger_in_their_turn():
+    k = kernel(admission_lag="batch", insert_stripe_high_water=1, queue_batches=9, service_us=10, drain_interval_us=10**9)
+    put(k, 0, 1, 3)
+    put(k, 20, 2, 4)
+    k.step("remove", 21, 21, 0, 1, 0, None, 0, 0, None)
+    assert 1 not in k.store and k.ledger.cost(1) == 3  # until 40
+    k.step("get", 45, 45, 0, 1, 0, None, 0, 0, None)
+    assert set(k.ledger.costs) == {2}
+    k.step("remove", 46, 46, 0, 2, 0, None, 0, 0, None)
+    put(k, 47, 2, 6)  # takes the index over before the removal's turn
+    k.finish()
+    assert k.ledger.costs == {2: 6} and set(k.store) == {2}
+
+
+def test_lines_keep_the_sums():
+    rng = random.Random(5)
+    k = kernel(60, admission_lag="batch", insert_stripe_high_water=3, queue_batches=2, service_us=40, drain_interval_us=5_000)
+    for seq in range(3000):
+        k.step(rng.choice(["get", "insert", "insert", "remove"]), seq, seq * 10, rng.randrange(3), rng.randrange(50) << 50, 0, "v", rng.randrange(1, 9), 0, None)
+        assert k.ledger.used == sum(k.ledger.costs.values()) == k.counts["cost_added"] - k.counts["cost_evicted"]
+    k.finish()
+    assert k.counts["sets_dropped"] > 0 and set(k.ledger.costs) <= set(k.store)
+
+
+def test_conditional_inserts_equal_the_kernel(spark):
+    from cachelens.operators.state import conditional_inserts
+    from cachelens.sources.oplog import COLUMNS
+
+    rng, k, rows, want = random.Random(8), kernel(10**6), [], []
+    for seq in range(600):
+        op, key, now = rng.choice(["insert", "insert_if_present", "insert_if_present", "remove", "clear"][: 4 + (rng.random() < 0.03)]), rng.randrange(12), seq * 300_000
+        ttl = rng.choice([0, 2_000_000, 9_000_000]) if op == "insert" else 0
+        rows.append(("c", seq, now, 0, op, key, 0, "v", 1, ttl, None))
+        before = k.version
+        k.step(*[rows[-1][COLUMNS.index(c)] for c in ("op", "seq", "ts_us", "client_id", "key_index", "key_conflict", "value", "cost", "ttl_us", "new_max_cost")])
+        if op == "insert_if_present":
+            want.append((seq, k.version > before))
+    log = spark.createDataFrame(rows, "cache_id string, seq long, ts_us long, client_id long, op string, key_index long, key_conflict long, value string, cost long, ttl_us long, new_max_cost long")
+    got = sorted((r.seq, r.updated) for r in conditional_inserts(log).collect())
+    assert got == want and 0 < sum(u for _, u in want) < len(want)
+
+
 def test_mutable_reads_write_in_place():
     k = kernel()
     k.step("get_mut", 0, 0, 0, 1, 0, "lost", 0, 0, None)
