@@ -39,3 +39,7 @@ class MissingColumn(CacheError):
 
 class InvalidHistogramBounds(CacheError):
     """Histogram bounds must rise."""
+
+
+class LateOperation(CacheError):
+    """A stream brought an operation after a later one of its cache had been carried out."""

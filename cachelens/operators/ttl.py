@@ -10,11 +10,11 @@ from cachelens.operators.state import CLEANUP_US, KEY, expiry_bucket, row_exists
 
 
 def remaining(log: DataFrame) -> DataFrame:
-    """Reads with ``present`` and ``remaining_us``: null without a time to live or a live row."""
-    d = with_previous(with_generation(log)).where("op = 'get'")
+    """Reads with ``present``, ``found`` (the value read, null without a live row) and ``remaining_us``: null without a time to live or a live row."""
+    d = with_previous(with_generation(log)).where("op IN ('get', 'get_mut')")
     present = row_exists() & unexpired()
     left = F.greatest(F.lit(0), F.col("prev.ttl_us") - (F.col("ts_us") - F.col("prev.ts_us")))
-    return d.withColumns({"present": F.coalesce(present, F.lit(False)), "remaining_us": F.when(present & (F.col("prev.ttl_us") > 0), left)})
+    return d.withColumns({"present": F.coalesce(present, F.lit(False)), "found": F.when(present, F.col("prev.value")), "remaining_us": F.when(present & (F.col("prev.ttl_us") > 0), left)})
 
 
 def buckets(log: DataFrame) -> DataFrame:

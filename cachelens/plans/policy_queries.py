@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cachelens.config import CacheConfig
 from cachelens.functions.keys import md5_index
 from cachelens.operators import metrics, policy
+from cachelens.plans import state_queries
 from cachelens.plans.state_queries import COUNTERS, events
+from cachelens.sources.oplog import from_events, table
 from cachelens.streaming import replay as streaming
 
 QUERIES, ORACLE = {}, {}
@@ -27,6 +29,10 @@ def query(sql: str | None = None):
     return put
 
 
+def without_clears(sql: str) -> str:
+    return sql.replace("event_id % 997 = 996", "false").replace("event_id % 997 <> 996", "true")
+
+
 def log_of(spark, sf_dir):
     """The event log with hashed keys, so that estimates spread over cells."""
     return events(spark, sf_dir).withColumn("key_index", md5_index(F.col("key_index")))
@@ -79,15 +85,10 @@ def policy_invariants(spark, sf_dir):
     return out
 
 
-@query(COUNTERS.replace("event_id % 997 = 996", "false").replace("event_id % 997 <> 996", "true") + "SELECT cache_id, hit, miss, keys_added, keys_updated, keys_evicted, cost_added - cost_evicted AS used FROM t")
+@query(without_clears(COUNTERS) + "SELECT cache_id, hit, miss, keys_added, keys_updated, keys_evicted, cost_added - cost_evicted AS used FROM t")
 def policy_infinite(spark, sf_dir):
     """With room for everything the kernel and the set-based plans agree (no clears)."""
-    from cachelens.sources.oplog import table
-
-    e = table(spark, sf_dir, "events")
-    log = events(spark, sf_dir).drop("op", "key_index", "key_conflict")
-    op = F.when(F.col("event_type").isin("view", "click"), "get").when(F.col("event_type").isin("purchase", "signup"), "insert").otherwise("remove")
-    log = log.join(e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key_index"), F.lit(0).cast("long").alias("key_conflict")), "seq")
+    log = from_events(table(spark, sf_dir, "events"), clears=False)
     return policy.replay(log, CacheConfig(num_counters=1000, max_cost=2**50)).select("cache_id", "hit", "miss", "keys_added", "keys_updated", "keys_evicted", "used")
 
 
@@ -130,3 +131,12 @@ def stream_op_counts(spark, sf_dir):
     counts = streaming.events_stream(spark, sf_dir).groupBy("cache_id", "op").agg(F.count("*").alias("n"))
     d = streaming.run_to_end(counts, "counts", home(spark))
     return d.groupBy("cache_id", "op").agg(F.max_by("n", "epoch").alias("n"))
+
+
+@query("SELECT cache_id, CASE WHEN kind = 'exit' THEN seq END AS seq, kind, key_index, value, cost FROM (" + without_clears(state_queries.ORACLE["change_feed_exit"]) + ")")
+def stream_feed(spark, sf_dir):
+    """Callbacks of a stream write what left the caches (with room for everything; no clears), each kind to its own table."""
+    log, base = streaming.events_stream(spark, sf_dir, clears=False), home(spark)
+    feed = streaming.cache_feed(log, CacheConfig(num_counters=1000, max_cost=2**50, ignore_internal_cost=True))
+    streaming.deliver(feed, f"{base}/checkpoint", exit=streaming.to_parquet(f"{base}/exit"), evict=streaming.to_parquet(f"{base}/evict")).awaitTermination()
+    return spark.read.parquet(f"{base}/exit").unionByName(spark.read.parquet(f"{base}/evict")).select("cache_id", "seq", "kind", "key_index", "value", "cost")

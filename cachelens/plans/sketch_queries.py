@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cachelens.functions.keys import md5_index
 from cachelens.functions.sizing import bloom_shape
 from cachelens.operators import sketch
+from cachelens.operators.state import with_generation
 from cachelens.sources.oplog import table
 
 QUERIES, ORACLE = {}, {}
@@ -153,3 +154,18 @@ def tinylfu_epochs(spark, sf_dir):
 def tinylfu_estimate(spark, sf_dir):
     """The estimate of every key at the end of the log."""
     return tiny(spark, sf_dir).estimates()
+
+
+#: The same with clears, each of which begins a generation of its cache: caches and generations share one number.
+CLEARED = TINY.replace("WITH r AS (SELECT event_id % 2 AS cache_id,", """WITH s AS (SELECT event_id, event_id % 7000 IN (300, 301) AS clears,
+  CAST(sum(CASE WHEN event_id % 7000 IN (300, 301) THEN 1 ELSE 0 END) OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS BIGINT) AS generation FROM events),
+r AS (SELECT generation * 2 + event_id % 2 AS cache_id,""").replace("AS user FROM events)", "AS user FROM s WHERE NOT clears)")
+
+
+@query(CLEARED + "SELECT cache_id % 2 AS cache_id, cache_id // 2 AS generation, key, cms, door, cms + CAST(door AS BIGINT) AS estimate FROM z")
+def tinylfu_cleared(spark, sf_dir):
+    """A clear empties sketch and filter, and positions start again: estimates at the end of every generation."""
+    log = skewed_reads(spark, sf_dir).withColumn("op", F.when(F.expr("seq % 7000 IN (300, 301)"), "clear").otherwise("get"))
+    reads = with_generation(log).where("op = 'get'")
+    d = sketch.TinyLfu(reads, "key", COUNTERS, ["cache_id", "generation"]).estimates()
+    return d.select("cache_id", "generation", "key", "cms", "door", "estimate")

@@ -340,6 +340,12 @@ def ttl_remaining(spark, sf_dir):
     return ttl.remaining(events(spark, sf_dir)).select("cache_id", "seq", "present", "remaining_us")
 
 
+@query(LOG + "SELECT cache_id, seq, key_index, CASE WHEN live THEN p.value END AS value, CASE WHEN live AND p.ttl_us > 0 THEN greatest(0, p.ttl_us - (ts_us - p.ts_us)) END AS remaining_us FROM look WHERE op = 'get'")
+def read_results(spark, sf_dir):
+    """What a read returns: the value and its remaining time to live, nulls for a miss."""
+    return ttl.remaining(events(spark, sf_dir)).select("cache_id", "seq", "key_index", F.col("found").alias("value"), "remaining_us")
+
+
 @query(LOG + "SELECT cache_id, (ts_us + ttl_us) // 1000000 + 1 AS bucket, count(*) AS n, min(key_index) AS least_key FROM log WHERE op = 'insert' AND ttl_us > 0 GROUP BY 1, 2")
 def ttl_buckets(spark, sf_dir):
     """Expiration buckets."""

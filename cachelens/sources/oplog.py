@@ -29,9 +29,9 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def from_events(events: DataFrame, caches: int = 4) -> DataFrame:
-    """Views and clicks read, purchases and signups insert (signups with a day to live), errors remove; some events clear their cache."""
-    clear = F.col("event_id") % CLEAR_EVERY == CLEAR_EVERY - 1
+def from_events(events: DataFrame, caches: int = 4, clears: bool = True) -> DataFrame:
+    """Views and clicks read, purchases and signups insert (signups with a day to live), errors remove; if ``clears``, some events clear their cache."""
+    clear = (F.col("event_id") % CLEAR_EVERY == CLEAR_EVERY - 1) if clears else F.lit(False)
     op = (
         F.when(clear, "clear")
         .when(F.col("event_type").isin("view", "click"), "get")

@@ -3,53 +3,102 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cachelens.config import CacheConfig
+from cachelens.errors import LateOperation
 from cachelens.operators.metrics import NAMES
-from cachelens.operators.policy import FIELDS, Kernel
+from cachelens.operators.policy import FEED, FIELDS, Kernel
 from cachelens.sources.oplog import from_events
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1, clears: bool = True) -> DataFrame:
     """The op log of the events table, read as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return from_events(stream)
+    return from_events(stream, clears=clears)
 
 
-def cache_metrics(log: DataFrame, config: CacheConfig) -> DataFrame:
-    """A row per cache and micro-batch with its counters so far.  State is one kernel per cache, kept by the state store."""
-    plain = asdict(config)
-    names = [*NAMES, "used"]
+def _fold(log: DataFrame, config: CacheConfig, ddl: str, mode: str, rows_of: Callable[[str, Kernel, int], list[tuple]]) -> DataFrame:
+    """Run every micro-batch of a cache through its kernel and return what ``rows_of(cache_id, kernel, operations)`` tells of it.
+
+    Within a micro-batch operations are sorted by ``seq``.  One that comes in a later micro-batch than a greater ``seq`` of its cache, or twice, stops
+    the stream with ``LateOperation``: what it would have changed has been decided.
+    """
+    plain, numbers = asdict(config), ("client_id", "key_index", "key_conflict", "cost", "ttl_us", "new_max_cost")
+    columns = [(n, "Int64" if t == "long" else "object") for n, t in (f.split() for f in ddl.split(", "))]
+    # to the kernel a missing number is a zero; a null would make pandas hold the column as doubles, which cut 60-bit keys
+    log = log.select("cache_id", *[F.coalesce(f, F.lit(0).cast("long")).alias(f) if f in numbers else F.col(f) for f in FIELDS])
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel = pickle.loads(state.get[0]) if state.exists else Kernel(CacheConfig(**plain))
+        kernel, last = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (Kernel(CacheConfig(**plain)), None)
         rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows[list(FIELDS)].astype(object).where(rows[list(FIELDS)].notna(), None).itertuples(index=False):
-            kernel.step(*[int(v) if isinstance(v, float) else v for v in r])
+        rows["value"] = rows["value"].astype(object).where(rows["value"].notna(), None)
+        for r in rows[list(FIELDS)].itertuples(index=False):
+            if last is not None and r.seq <= last:
+                raise LateOperation(f"cache {key[0]}: operation {r.seq} came after {last}")
+            kernel.step(*r)
+            last = r.seq
+        out = rows_of(key[0], kernel, len(rows))
         kernel.decisions.clear()
         kernel.events.clear()
-        state.update((pickle.dumps(kernel),))
-        yield pd.DataFrame([[key[0], len(rows), *[kernel.counts[n] for n in NAMES], kernel.ledger.used]], columns=["cache_id", "batch_ops", *names])
+        state.update((pickle.dumps(kernel), int(last)))
+        if out:  # whole numbers with nulls must not become doubles either
+            yield pd.DataFrame({n: pd.Series(c, dtype=t) for (n, t), c in zip(columns, zip(*out))})
 
-    ddl = "cache_id string, batch_ops long, " + ", ".join(f"{n} long" for n in names)
-    return log.groupBy("cache_id").applyInPandasWithState(run, ddl, "kernel binary", "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("cache_id").applyInPandasWithState(run, ddl, "kernel binary, last_seq long", mode, GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str, home: str) -> DataFrame:
-    """Run a stream over what is there now, appending every micro-batch to a Parquet table below ``home``, and read that table."""
-    spark = stream.sparkSession
-    out = f"{home}/{name}"
+def cache_metrics(log: DataFrame, config: CacheConfig) -> DataFrame:
+    """A row per cache and micro-batch with its counters so far.  State is one kernel per cache, kept by the state store."""
+    ddl = "cache_id string, batch_ops long, " + ", ".join(f"{n} long" for n in [*NAMES, "used"])
+    return _fold(log, config, ddl, "update", lambda cache, k, n: [(cache, n, *[k.counts[c] for c in NAMES], k.ledger.used)])
+
+
+def cache_feed(log: DataFrame, config: CacheConfig) -> DataFrame:
+    """What left each cache in a micro-batch and why: rows of ``policy.replay(..., "feed")`` but for ``config_id``.  What is still queued comes later."""
+    return _fold(log, config, FEED.removeprefix("config_id string, "), "append", lambda cache, k, n: [(cache, *e) for e in k.events])
+
+
+def deliver(feed: DataFrame, checkpoint: str, **callbacks: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Start a stream that hands the rows of each kind (``exit``, ``evict``, ``reject``) to its callback, with the number of the micro-batch.
+
+    A micro-batch that failed is delivered again under its number, so callbacks must let a second delivery replace the first.  They get DataFrames and
+    write them in Spark; kinds without a callback are passed over, and one that gets no rows is called all the same.
+    """
+    if unknown := set(callbacks) - {"exit", "evict", "reject"}:
+        raise ValueError(f"no such kind: {', '.join(sorted(unknown))}")
+
+    def send(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # else each callback would run the kernels of the micro-batch again
+        try:
+            for kind, call in callbacks.items():
+                call(batch.where(F.col("kind") == kind), epoch)
+        finally:
+            batch.unpersist()
+
+    return feed.writeStream.outputMode("append").foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
+    """A callback that writes each micro-batch to its own folder of a Parquet table, in place of what an earlier try left there."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{home}/{name}-checkpoint").trigger(availableNow=True).start()
+    return save
+
+
+def run_to_end(stream: DataFrame, name: str, home: str) -> DataFrame:
+    """Run a stream over what is there now, appending every micro-batch to a Parquet table below ``home``, and read that table."""
+    out = f"{home}/{name}"
+    q = stream.writeStream.outputMode("update").foreachBatch(to_parquet(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return stream.sparkSession.read.parquet(out)

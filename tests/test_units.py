@@ -1,8 +1,10 @@
 """Golden values and step models."""
 
+import os
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from cachelens import errors
 from cachelens.config import CacheConfig
@@ -438,6 +440,48 @@ def test_stream_equals_batch(spark, sf):
     assert {c: (r.hit, r.miss, r.keys_added, r.used) for c, r in stream.items()} == {c: (r.hit, r.miss, r.keys_added, r.used) for c, r in batch.items()}
 
 
+def test_stream_of_several_files(spark, sf, tmp_path):
+    from cachelens.operators.policy import replay
+    from cachelens.plans import policy_queries as q
+    from cachelens.streaming import replay as streaming
+
+    config = CacheConfig(num_counters=100, max_cost=250)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    at = events.approxQuantile("event_id", [0.5], 0.0)[0]
+    events.where(events.event_id <= at).coalesce(1).write.parquet(f"{tmp_path}/one")
+    events.where(events.event_id > at).coalesce(1).write.parquet(f"{tmp_path}/two")
+
+    def feed(order):
+        home = tmp_path / "-".join(order)
+        home.mkdir()
+        for n, part in enumerate(order):  # the source takes files by their time
+            (file,) = (tmp_path / part).glob("*.parquet")
+            copy = home / f"events-{n}.parquet"
+            copy.write_bytes(file.read_bytes())
+            os.utime(copy, (1_000_000 + n, 1_000_000 + n))
+        stream = streaming.from_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(home)))
+        return streaming.cache_feed(stream.withColumn("key_index", q.md5_index(stream.key_index)), config)
+
+    got = {k: streaming.to_parquet(f"{tmp_path}/out/{k}") for k in ("exit", "evict", "reject")}
+    streaming.deliver(feed(["one", "two"]), f"{tmp_path}/checkpoint", **got).awaitTermination()
+    rows = [tuple(r)[:6] for k in got for r in spark.read.parquet(f"{tmp_path}/out/{k}").select("cache_id", "seq", "kind", "key_index", "value", "cost").collect()]
+    want = [tuple(r) for r in replay(q.log_of(spark, sf), config, "feed").select("cache_id", "seq", "kind", "key_index", "value", "cost").collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr) and {r[2] for r in rows} == set(got)
+
+    with pytest.raises(StreamingQueryException, match="LateOperation"):
+        streaming.deliver(feed(["two", "one"]), f"{tmp_path}/late", **got).awaitTermination()
+    with pytest.raises(ValueError, match="no such kind: gone"):
+        streaming.deliver(events, f"{tmp_path}/none", gone=print)
+
+
+def test_read_results(spark):
+    from cachelens.operators.ttl import remaining
+
+    log = log_of(spark, [(1, 0, "get", 1, None, 0, 0), (2, 0, "insert", 1, "a", 1, 5_000_000), (3, 2_000_000, "get", 1, None, 0, 0), (4, 9_000_000, "get", 1, None, 0, 0), (5, 9_000_000, "insert", 1, None, 1, 0), (6, 9_000_001, "get", 1, None, 0, 0)])
+    got = {r.seq: (r.present, r.found, r.remaining_us) for r in remaining(log).collect()}
+    assert got == {1: (False, None, None), 3: (True, "a", 3_000_000), 4: (False, None, None), 6: (True, None, None)}
+
+
 # --- sources
 
 
