@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cachelens.config import CacheConfig
 from cachelens.functions.keys import md5_index
+from cachelens.functions.sizing import bloom_shape, sketch_mask
 from cachelens.operators import metrics, policy
 from cachelens.plans import state_queries
 from cachelens.plans.state_queries import COUNTERS, events
@@ -33,6 +34,41 @@ def without_clears(sql: str) -> str:
     return sql.replace("event_id % 997 = 996", "false").replace("event_id % 997 <> 996", "true")
 
 
+SMALL = CacheConfig(num_counters=100, max_cost=400, ignore_internal_cost=True)
+E1, P1 = bloom_shape(SMALL.num_counters, 0.01)
+
+#: The policy as a recursion over the operations of each cache: residents (res), sketch cells, the filter's bits (door) and reads are carried along.
+STEPS = """
+WITH RECURSIVE log AS (SELECT cache_id, seq, op, k, cost AS c, list_transform(range({probes}), lambda i: ((k >> {shift}) + i * (k & {bits})) & {bits}) AS b, row_number() OVER (PARTITION BY cache_id ORDER BY seq) AS pos
+  FROM (SELECT 'c' || (user_id % 4) AS cache_id, event_id AS seq, CAST(ceil(value) AS BIGINT) AS cost, ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 15))::BIGINT AS k,
+    CASE WHEN event_id % 997 = 996 THEN 'clear' WHEN event_type IN ('view', 'click') THEN 'get' WHEN event_type IN ('purchase', 'signup') THEN 'insert' ELSE 'remove' END AS op FROM events)),
+st AS (
+  SELECT DISTINCT cache_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS key_index, CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS inc_hits, CAST(0 AS BIGINT) AS victims, CAST(0 AS BIGINT) AS used,
+    CAST([] AS STRUCT(k BIGINT, c BIGINT)[]) AS res, list_transform(range({cells}), lambda i: CAST(0 AS BIGINT)) AS cells, CAST([] AS BIGINT[]) AS door, CAST(0 AS BIGINT) AS reads FROM log
+  UNION ALL
+  SELECT cache_id, pos, seq, k, outcome, c, CASE WHEN outcome IN ('Admitted', 'RejectedBySampling') THEN mine ELSE 0 END, CASE WHEN fresh THEN least(needed, allowed) ELSE 0 END,
+    CAST(CASE WHEN outcome = 'RejectedByCost' THEN used ELSE coalesce(list_sum(list_transform(after, lambda r: r.c)), 0) END AS BIGINT), after,
+    CASE WHEN op = 'clear' THEN list_transform(cells, lambda x: CAST(0 AS BIGINT)) WHEN ages THEN list_transform(counted, lambda x: x // 2) ELSE counted END,
+    CASE WHEN op = 'clear' OR ages THEN CAST([] AS BIGINT[]) WHEN op = 'get' AND NOT known THEN list_distinct(list_concat(door, b)) ELSE door END,
+    CASE WHEN op = 'clear' OR ages THEN 0 WHEN op = 'get' THEN reads + 1 ELSE reads END
+  FROM (SELECT *, CASE WHEN op = 'clear' THEN CAST([] AS STRUCT(k BIGINT, c BIGINT)[])
+        WHEN op = 'remove' OR outcome = 'RejectedByCost' THEN list_filter(res, lambda r: r.k <> k)
+        WHEN outcome = 'UpdatedExisting' THEN list_transform(res, lambda r: {{'k': r.k, 'c': CASE WHEN r.k = k THEN c ELSE r.c END}})
+        WHEN fresh THEN list_concat(list_transform(ranked[least(needed, allowed) + 1:], lambda r: {{'k': r.k, 'c': r.c}}), CASE WHEN outcome = 'Admitted' THEN [{{'k': k, 'c': c}}] ELSE CAST([] AS STRUCT(k BIGINT, c BIGINT)[]) END)
+        ELSE res END AS after
+    FROM (SELECT *, CASE WHEN op <> 'insert' THEN NULL WHEN c > {budget} THEN 'RejectedByCost' WHEN NOT fresh THEN 'UpdatedExisting' WHEN needed <= allowed THEN 'Admitted' ELSE 'RejectedBySampling' END AS outcome
+      FROM (SELECT *, len(list_filter(ranked, lambda r: r.e <= mine)) AS allowed,
+          len(list_filter(range(len(ranked)), lambda i: used - coalesce(list_sum(list_transform(ranked[1:i], lambda r: r.c)), 0) + c > {budget})) AS needed
+        FROM (SELECT *, cells[(k & {mask}) + 1] + CAST(known AS BIGINT) AS mine, op = 'get' AND reads + 1 >= {counters} AS ages,
+            CASE WHEN op = 'get' AND known THEN list_transform(cells, lambda x, i: CASE WHEN i = (k & {mask}) + 1 THEN least(15, x + 1) ELSE x END) ELSE cells END AS counted,
+            CASE WHEN fresh THEN list_sort(list_transform(res, lambda r: {{'e': cells[(r.k & {mask}) + 1] + CAST(list_has_all(door, list_transform(range({probes}), lambda i: ((r.k >> {shift}) + i * (r.k & {bits})) & {bits})) AS BIGINT), 'k': r.k, 'c': r.c}})) END AS ranked
+          FROM (SELECT l.*, res, cells, door, reads, list_has_all(door, b) AS known, coalesce(list_sum(list_transform(res, lambda r: r.c)), 0) AS used,
+              op = 'insert' AND c <= {budget} AND len(list_filter(res, lambda r: r.k = l.k)) = 0 AS fresh
+            FROM st JOIN log l ON l.cache_id = st.cache_id AND l.pos = st.pos + 1)))))
+)
+""".format(probes=P1, shift=60 - E1, bits=(1 << E1) - 1, cells=sketch_mask(SMALL.num_counters) + 1, mask=sketch_mask(SMALL.num_counters), counters=SMALL.num_counters, budget=SMALL.max_cost)
+
+
 def log_of(spark, sf_dir):
     """The event log with hashed keys, so that estimates spread over cells."""
     return events(spark, sf_dir).withColumn("key_index", md5_index(F.col("key_index")))
@@ -50,6 +86,20 @@ def policy_decisions(spark, sf_dir):
     return policy.replay(log_of(spark, sf_dir), CONFIG, "decisions").drop("config_id")
 
 
+@query(STEPS + "SELECT cache_id, seq, key_index, outcome, cost, inc_hits, victims, used FROM st WHERE outcome IS NOT NULL")
+def policy_steps(spark, sf_dir):
+    """Every decision of the policy on the event log without times to live, with a small sketch that ages often."""
+    d = policy.replay(log_of(spark, sf_dir).withColumn("ttl_us", F.lit(0).cast("long")), SMALL, "decisions")
+    return d.select("cache_id", "seq", "key_index", "outcome", "cost", "inc_hits", F.size("victims").cast("long").alias("victims"), "used")
+
+
+@query(STEPS + "SELECT cache_id, r.k AS key_index, r.c AS cost, true AS stored FROM (SELECT cache_id, unnest(res) AS r FROM (SELECT cache_id, arg_max(res, pos) AS res FROM st GROUP BY cache_id))")
+def policy_residents(spark, sf_dir):
+    """Who is resident after the last of these decisions, each with a stored row."""
+    log = log_of(spark, sf_dir).withColumn("ttl_us", F.lit(0).cast("long"))
+    return policy.replay(log, SMALL, "ledger").select("cache_id", "key_index", "cost", "stored")
+
+
 @query()
 def policy_victims(spark, sf_dir):
     """Evicted keys by the write that evicted them."""
