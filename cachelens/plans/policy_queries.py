@@ -34,7 +34,7 @@ def without_clears(sql: str) -> str:
     return sql.replace("event_id % 997 = 996", "false").replace("event_id % 997 <> 996", "true")
 
 
-SMALL = CacheConfig(num_counters=100, max_cost=400, ignore_internal_cost=True)
+SMALL = CacheConfig(num_counters=100, max_cost=300, ignore_internal_cost=True)
 E1, P1 = bloom_shape(SMALL.num_counters, 0.01)
 
 #: The policy as a recursion over the operations of each cache: residents (res), sketch cells, the filter's bits (door) and reads are carried along.
