@@ -12,7 +12,9 @@ import random
 from collections import Counter, OrderedDict, defaultdict, deque
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,15 @@ from cachelens.functions.sizing import bloom_shape, sketch_mask
 from cachelens.operators.metrics import NAMES
 
 HASH_BITS = 60
+#: Most rows of a batch that goes back to Spark.
+ROWS = 10_000
+
+
+@lru_cache(maxsize=1 << 16)
+def _bits(key: int, exponent: int, probes: int) -> tuple[int, ...]:
+    size = (1 << exponent) - 1
+    high, low = key >> (HASH_BITS - exponent), key & size
+    return tuple([(high + i * low) & size for i in range(probes)])
 
 
 class Frequency:
@@ -36,32 +47,32 @@ class Frequency:
 
     def clear(self) -> None:
         self.door, self.cells, self.reads = set(), {}, 0
+        self.known: set[int] = set()  # keys read since the filter was emptied, so it holds their bits
         self.age += 1
 
-    def _bits(self, key: int) -> list[int]:
-        size = (1 << self.exponent) - 1
-        high, low = key >> (HASH_BITS - self.exponent), key & size
-        return [(high + i * low) & size for i in range(self.probes)]
+    def _seen(self, key: int) -> bool:
+        return key in self.known or self.door.issuperset(_bits(key, self.exponent, self.probes))
 
     def increment(self, key: int) -> None:
-        bits = self._bits(key)
-        if self.door.issuperset(bits):
+        if self._seen(key):
             cell = key & self.mask
             self.cells[cell] = min(15, self.cells.get(cell, 0) + 1)
         else:
-            self.door.update(bits)
+            self.door.update(_bits(key, self.exponent, self.probes))
+        self.known.add(key)
         self.reads += 1
         if self.reads >= self.counters:
             self.reads = 0
             self.age += 1
             self.door.clear()
+            self.known.clear()
             self.cells = {c: n >> 1 for c, n in self.cells.items() if n > 1}
 
     def estimate(self, key: int) -> int:
-        return self.cells.get(key & self.mask, 0) + self.door.issuperset(self._bits(key))
+        return self.cells.get(key & self.mask, 0) + self._seen(key)
 
 
-@dataclass
+@dataclass(slots=True)
 class Row:
     """A stored value."""
 
@@ -81,7 +92,7 @@ class Row:
         return (self.created_us + self.ttl_us) // 1_000_000 + 1
 
 
-@dataclass
+@dataclass(slots=True)
 class Item:
     """A queued admission: a new row or an update."""
 
@@ -96,31 +107,38 @@ class Item:
 
 @dataclass
 class Ledger:
-    """The policy's view: costs by key, their sum, the order of last use (for the ``lru`` policy), and the keys by number (for samples)."""
+    """The policy's view: costs by key, their sum, the order of last use (under the ``lru`` policy), and the keys by number (for samples, under ``tinylfu``)."""
 
     config: CacheConfig
     budget: int
-    costs: OrderedDict = field(default_factory=OrderedDict)
+    costs: dict[int, int] = field(default_factory=dict)
     used: int = 0
     keys: list[int] = field(default_factory=list)
     place: dict[int, int] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.ordered, self.numbered = self.config.admission == "lru", self.config.admission == "tinylfu"
+        if self.ordered:
+            self.costs = OrderedDict()
+
     def room(self, cost: int) -> int:
         return self.budget - (self.used + cost)
 
     def put(self, key: int, cost: int) -> None:
         self.costs[key] = cost
         self.used += cost
-        self.place[key] = len(self.keys)
-        self.keys.append(key)
+        if self.numbered:
+            self.place[key] = len(self.keys)
+            self.keys.append(key)
 
     def take(self, key: int) -> int | None:
         cost = self.costs.pop(key, None)
         if cost is not None:
             self.used -= cost
-            at, last = self.place.pop(key), self.keys.pop()
-            if last != key:  # the last one takes its place
-                self.keys[at], self.place[last] = last, at
+            if self.numbered:
+                at, last = self.place.pop(key), self.keys.pop()
+                if last != key:  # the last one takes its place
+                    self.keys[at], self.place[last] = last, at
         return cost
 
     def clear(self) -> None:
@@ -162,10 +180,15 @@ class Kernel:
     Args:
         accepts: whether an update may replace ``(old value, old cost)`` by ``(new value, new cost)``; a refused one leaves the row as it was.
         coster: the cost of a value that is written with cost 0.
+        keep: what is noted, of ``decisions`` and ``events``.  Whoever asks for them empties the lists.  Frequencies are counted where something depends on
+            them: decisions, or admission by them.
     """
 
-    def __init__(self, config: CacheConfig, accepts: Callable[[str | None, int, str | None, int], bool] | None = None, coster: Callable[[str | None], int] | None = None):
+    def __init__(self, config: CacheConfig, accepts: Callable[[str | None, int, str | None, int], bool] | None = None, coster: Callable[[str | None], int] | None = None, keep: tuple[str, ...] = ("decisions", "events")):
         self.config, self.accepts, self.coster = config, accepts, coster
+        self.keeps_decisions, self.keeps_events = "decisions" in keep, "events" in keep
+        self.by_frequency = self.keeps_decisions or config.admission == "tinylfu"
+        self.lagged = config.admission_lag != "none" or config.freq_lag != "none"
         self.born: dict[int, int] = {}
         self.coldest: list[tuple[int, int]] = []
         self.coldest_age = -1
@@ -178,7 +201,8 @@ class Kernel:
         self.queue: dict[int, list[Item]] = defaultdict(list)
         self.line = Line(config.queue_batches, config.service_us)
         self.read_line = Line(config.read_queue_batches, config.service_us)
-        self.buckets: dict[int, set[int]] = defaultdict(set)
+        self.buckets: dict[int, set[int]] = {}
+        self.due: list[int] = []  # a heap of the buckets' numbers, and of some that are gone
         self.counts = Counter()
         self.version = self.generation = 0
         self.start: int | None = None
@@ -190,9 +214,10 @@ class Kernel:
 
     def step(self, op: str, seq: int, now: int, client: int, key: int | None, conflict: int | None, value, cost: int | None, ttl: int | None, budget: int | None) -> bool | None:
         """Carry out one operation; for reads, whether it hit."""
-        self._tick(now)
+        if self.lagged or self.start is None or now >= self.next_clean:
+            self._tick(now)
         self.now = now
-        if op in ("get", "get_mut"):
+        if op == "get" or op == "get_mut":
             hit = self._read(now, client, key, conflict or 0)
             if hit and op == "get_mut" and value is not None:
                 self.store[key].value = value  # in place: cost, time to live and version stay
@@ -224,7 +249,8 @@ class Kernel:
 
     def _read(self, now: int, client: int, key: int, conflict: int) -> bool:
         if self.config.freq_lag == "none":
-            self.frequency.increment(key)
+            if self.by_frequency:
+                self.frequency.increment(key)
             self.counts["gets_kept"] += 1
         else:
             batch = self.reads[client & (STRIPES - 1)]
@@ -235,7 +261,7 @@ class Kernel:
         row = self.store.get(key)
         hit = row is not None and conflict in (0, row.conflict) and not row.expired(now)
         self.counts["hit" if hit else "miss"] += 1
-        if hit and key in self.ledger.costs:
+        if hit and self.ledger.ordered and key in self.ledger.costs:
             self.ledger.costs.move_to_end(key)
         return hit
 
@@ -253,19 +279,19 @@ class Kernel:
                 return
             kind = "update"
             self._unbucket(key, row)
-            self.events.append((seq, "exit", key, row.value, row.cost, None))
+            if self.keeps_events:
+                self.events.append((seq, "exit", key, row.value, row.cost, None))
         else:
             return
         self.version += 1
         self.store[key] = row = Row(conflict, self.version, self.generation, value, cost, now, ttl)
         if ttl:
-            self.buckets[row.bucket].add(key)
-        item = Item(kind, seq, key, conflict, self.version, self.generation, cost)
+            self._bucket(key, row)
         if self.config.admission_lag == "none":
-            self._process(item)
+            self._admit(kind, seq, key, cost)
             return
         batch = self.queue[client & (STRIPES - 1)]
-        batch.append(item)
+        batch.append(Item(kind, seq, key, conflict, self.version, self.generation, cost))
         if len(batch) >= self.config.insert_stripe_high_water:
             self.queue[client & (STRIPES - 1)] = []
             self._send(batch, now)
@@ -281,8 +307,9 @@ class Kernel:
         self.counts["gets_kept"] += len(batch)
 
     def _count_reads(self, batch: list[int]) -> None:
-        for k in batch:
-            self.frequency.increment(k)
+        if self.by_frequency:
+            for k in batch:
+                self.frequency.increment(k)
 
     def _send(self, batch: list[Item], now: int) -> None:
         if not self.config.queue_batches:
@@ -323,25 +350,27 @@ class Kernel:
         self.born.clear()
         self.frequency.clear()
         self.buckets.clear()
+        self.due.clear()
         self.counts.clear()
         self.generation += 1
 
     def _tick(self, now: int) -> None:
         if self.start is None:
             self.start, self.next_clean, self.next_drain = now, now + self.config.cleanup_us, now + self.config.drain_interval_us
-        for batch in self.line.done(now):
-            for i in batch:
-                self._process(i)
-        for batch in self.read_line.done(now):
-            self._count_reads(batch)
-        if now >= self.next_drain:
-            self._flush()
-            self.next_drain += ((now - self.next_drain) // self.config.drain_interval_us + 1) * self.config.drain_interval_us
+        if self.lagged:  # else nothing waits
+            for batch in self.line.done(now):
+                for i in batch:
+                    self._process(i)
+            for batch in self.read_line.done(now):
+                self._count_reads(batch)
+            if now >= self.next_drain:
+                self._flush()
+                self.next_drain += ((now - self.next_drain) // self.config.drain_interval_us + 1) * self.config.drain_interval_us
         if now >= self.next_clean:
             # all ticks up to now at once: the last of them sweeps what the earlier ones would have
-            last = self.next_clean + (now - self.next_clean) // self.config.cleanup_us * self.config.cleanup_us
-            for bucket in sorted(b for b in self.buckets if b <= last // 1_000_000):
-                for key in sorted(self.buckets.pop(bucket)):
+            last = now - (now - self.next_clean) % self.config.cleanup_us
+            while self.due and self.due[0] <= last // 1_000_000:
+                for key in sorted(self.buckets.pop(heapq.heappop(self.due), ())):
                     row = self.store.get(key)
                     if row is not None and row.expired(last):
                         self._drop(key, None, "evict", last)
@@ -367,27 +396,30 @@ class Kernel:
             return
         if item.generation != self.generation or row is None or row.version != item.version:
             return
-        if item.kind == "update" and self._updated(item):
-            self._decide(item, "UpdatedExisting", 0, [])
+        self._admit(item.kind, item.seq, item.key, item.cost)
+
+    def _admit(self, kind: str, seq: int, key: int, cost: int) -> None:
+        if kind == "update" and self._updated(key, cost):
+            self._decide(seq, key, cost, "UpdatedExisting", 0, [])
             return
-        outcome, estimate, victims = self._add(item.key, item.cost)
-        self._decide(item, outcome, estimate, victims)
-        for key, _ in victims:
-            if key in self.store:  # a key that was sampled twice is gone by its second time
-                self._drop(key, item.seq, "evict", self.now)
+        outcome, estimate, victims = self._add(key, cost)
+        self._decide(seq, key, cost, outcome, estimate, victims)
+        for victim, _ in victims:
+            if victim in self.store:  # a key that was sampled twice is gone by its second time
+                self._drop(victim, seq, "evict", self.now)
         if outcome.startswith("Rejected"):
-            self._drop(item.key, item.seq, "reject")
-            self._unledger(item.key)
+            self._drop(key, seq, "reject")
+            self._unledger(key)
 
-    def _updated(self, item: Item) -> bool:
-        before = self.ledger.cost(item.key)
-        if before < 0 or item.cost < 0 or item.cost > self.ledger.budget:
+    def _updated(self, key: int, cost: int) -> bool:
+        before = self.ledger.cost(key)
+        if before < 0 or cost < 0 or cost > self.ledger.budget:
             return False
         self.counts["keys_updated"] += 1
-        self.counts["cost_added"] += max(0, item.cost - before)
-        self.counts["cost_evicted"] += max(0, before - item.cost)
-        self.ledger.costs[item.key] = item.cost
-        self.ledger.used += item.cost - before
+        self.counts["cost_added"] += max(0, cost - before)
+        self.counts["cost_evicted"] += max(0, before - cost)
+        self.ledger.costs[key] = cost
+        self.ledger.used += cost - before
         return True
 
     def _add(self, key: int, cost: int) -> tuple[str, int, list[tuple[int, int]]]:
@@ -400,7 +432,7 @@ class Kernel:
             self.counts["cost_added"] += max(0, cost - before)
             self.counts["cost_evicted"] += max(0, before - cost)
             return "UpdatedExisting", 0, []
-        mine, victims, sample = self.frequency.estimate(key), [], []
+        mine, victims, sample = self.frequency.estimate(key) if self.by_frequency else 0, [], []
         while self.config.admission != "infinite" and self.ledger.room(cost) < 0 and self.ledger.costs:
             victim = self._victim(sample)
             if self.config.admission == "tinylfu" and mine < self.frequency.estimate(victim):
@@ -408,9 +440,13 @@ class Kernel:
                 return "RejectedBySampling", mine, victims
             victims.append((victim, self._unledger(victim)))  # no cost for one that is gone
         self.ledger.put(key, cost)
-        self.born[key] = self.now
+        if self.keeps_events:
+            self.born[key] = self.now
         if self.coldest_age == self.frequency.age:
-            heapq.heappush(self.coldest, (mine, key))
+            if len(self.coldest) > 2 * len(self.ledger.costs) + 64:
+                self.coldest_age = -1  # mostly stale: made anew when next asked for
+            else:
+                heapq.heappush(self.coldest, (mine, key))
         self.counts["keys_added"] += 1
         self.counts["cost_added"] += cost
         return "Admitted", mine, victims
@@ -455,20 +491,35 @@ class Kernel:
             self.counts["cost_evicted"] += cost
         return cost
 
+    def _bucket(self, key: int, row: Row) -> None:
+        keys = self.buckets.get(row.bucket)
+        if keys is not None:
+            keys.add(key)
+            return
+        self.buckets[row.bucket] = {key}
+        heapq.heappush(self.due, row.bucket)
+        if len(self.due) > 2 * len(self.buckets) + 64:
+            self.due = sorted(self.buckets)
+
     def _unbucket(self, key: int, row: Row) -> None:
-        if row.ttl_us and row.bucket in self.buckets:
-            self.buckets[row.bucket].discard(key)
+        if row.ttl_us and (keys := self.buckets.get(row.bucket)) is not None:
+            keys.discard(key)
+            if not keys:
+                del self.buckets[row.bucket]
 
     def _drop(self, key: int, seq: int | None, kind: str, now: int | None = None) -> None:
         """``now`` is given for evictions and sweeps alone, which end a life: whole seconds since admission."""
         row = self.store.pop(key)
         self._unbucket(key, row)
+        if not self.keeps_events:
+            return
         born = self.born.pop(key, None)
         life = (now - born) // 1_000_000 if now is not None and born is not None else None
         self.events.append((seq, kind, key, row.value, row.cost, life))
 
-    def _decide(self, item: Item, outcome: str, estimate: int, victims: list[tuple[int, int]]) -> None:
-        self.decisions.append((item.seq, item.key, outcome, item.cost, estimate, [{"key": k, "cost": c or 0} for k, c in victims], self.ledger.used, self.ledger.budget))
+    def _decide(self, seq: int, key: int, cost: int, outcome: str, estimate: int, victims: list[tuple[int, int]]) -> None:
+        if self.keeps_decisions:
+            self.decisions.append((seq, key, outcome, cost, estimate, [{"key": k, "cost": c or 0} for k, c in victims], self.ledger.used, self.ledger.budget))
 
 
 FIELDS = ("op", "seq", "ts_us", "client_id", "key_index", "key_conflict", "value", "cost", "ttl_us", "new_max_cost")
@@ -485,6 +536,34 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The arguments of ``Kernel.step`` for each row."""
+
+    def values(c: pa.Array) -> list:
+        if c.null_count == len(c):
+            return [None] * len(c)
+        if pa.types.is_integer(c.type) and not c.null_count:
+            return c.to_numpy().tolist()
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            d = c.dictionary_encode()
+            words = [*d.dictionary.to_pylist(), None]
+            return [words[i] for i in d.indices.fill_null(-1).to_numpy().tolist()]
+        return c.to_pylist()
+
+    return zip(*[values(batch.column(f)) for f in FIELDS])
+
+
+def runs(batch: pa.RecordBatch, by: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The stretches of a sorted batch that are equal in ``by``, each with its values."""
+    change = np.zeros(max(0, batch.num_rows - 1), bool)
+    for c in by:
+        codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy()
+        change |= codes[1:] != codes[:-1]
+    starts = [0, *(np.flatnonzero(change) + 1).tolist()] if batch.num_rows else []
+    for a, z in zip(starts, [*starts[1:], batch.num_rows]):
+        yield tuple(batch.column(c)[a].as_py() for c in by), batch.slice(a, z - a)
+
+
 def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what: str = "metrics", accepts: Callable | None = None, coster: Callable | None = None) -> DataFrame:
     """Replay every cache of ``log`` under every configuration.
 
@@ -498,8 +577,13 @@ def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what:
         configs = {"c": configs}
     ddl = {"metrics": METRICS, "decisions": DECISIONS, "feed": FEED, "ledger": LEDGER}[what]
     schema, plain = _arrow(ddl), {k: asdict(c) for k, c in configs.items()}
+    keep = {"decisions": ("decisions",), "feed": ("events",)}.get(what, ())
+    if not (accepts or coster or what == "feed"):
+        log = log.withColumn("value", F.lit(None).cast("string"))  # nothing looks at values
     names = F.array(*[F.lit(k) for k in sorted(configs)])
-    groups = log.select(F.explode(names).alias("config_id"), "cache_id", *FIELDS).repartition("config_id", "cache_id").sortWithinPartitions("config_id", "cache_id", "seq")
+    # a number of partitions is given because else small groups, which are long work, are put together in one task
+    parts = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * len(configs))
+    groups = log.select(F.explode(names).alias("config_id"), "cache_id", *FIELDS).repartition(parts, "config_id", "cache_id").sortWithinPartitions("config_id", "cache_id", "seq")
 
     def rows_of(group: tuple[str, str], k: Kernel, last: bool) -> list[tuple]:
         if what == "decisions":
@@ -514,31 +598,25 @@ def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what:
             out = [(*group, *[k.counts[n] for n in NAMES], k.ledger.used, k.ledger.budget)]
         return out
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + ROWS]), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kernel = None, None
         for b in batches:
-            out = []
-            for r in zip(*[b.column(c).to_pylist() for c in ("config_id", "cache_id", *FIELDS)]):
-                if r[:2] != group:
+            for key, run_ in runs(b, ("config_id", "cache_id")):
+                if key != group:
                     if kernel is not None:
                         kernel.finish()
-                        out += rows_of(group, kernel, True)
-                    group, kernel = r[:2], Kernel(CacheConfig(**plain[r[0]]), accepts, coster)
-                kernel.step(*r[2:])
-                if what == "metrics":
-                    kernel.decisions.clear()
-                    kernel.events.clear()
-            if kernel is not None:
-                out += rows_of(group, kernel, False)
-            if out:
-                yield batch_of(out)
+                        yield from batches_of(rows_of(group, kernel, True))
+                    group, kernel = key, Kernel(CacheConfig(**plain[key[0]]), accepts, coster, keep)
+                for r in rows(run_):
+                    kernel.step(*r)
+                yield from batches_of(rows_of(group, kernel, False))
         if kernel is not None:
             kernel.finish()
-            if out := rows_of(group, kernel, True):
-                yield batch_of(out)
+            yield from batches_of(rows_of(group, kernel, True))
 
     return groups.mapInArrow(run, ddl)
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -292,6 +293,24 @@ def test_exact_victims_equal_a_search_of_all_residents():
         assert sorted(k.ledger.keys) == sorted(k.ledger.costs)
 
 
+def test_a_tick_looks_at_due_buckets_only():
+    searches = []
+
+    class Watched(defaultdict):
+        def __iter__(self):
+            searches.append(len(self))
+            return super().__iter__()
+
+    k = kernel(10**6)
+    k.buckets = Watched(set)
+    for i in range(300):
+        k.step("insert", i, i * 3_000_000, 0, i, 0, "v", 1, 900_000_000 + i, None)
+        k.step("remove", i, i * 3_000_000, 0, i - 3, 0, None, 0, 0, None)
+    assert len(k.store) == 3 and len(k.buckets) == 3 and len(k.due) < 100 and len(searches) < 10
+    k.step("get", 300, 10**10, 0, 0, 0, None, 0, 0, None)
+    assert not k.store and not k.buckets and not k.due and k.ledger.used == 0
+
+
 def test_a_full_line_drops_batches():
     k = kernel(admission_lag="batch", insert_stripe_high_water=1, queue_batches=1, service_us=10, drain_interval_us=10**9)
     put(k, 0, 1, 3)  # done at 10
