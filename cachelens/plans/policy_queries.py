@@ -123,15 +123,13 @@ def policy_feed(spark, sf_dir):
 def policy_invariants(spark, sf_dir):
     """The budget, the sum of costs (since the last clear, which empties counters and ledger) and the ledger's rows hold."""
     log = log_of(spark, sf_dir)
-    m = policy.replay(log, CONFIG)
+    differs = F.count_if(F.col("cost_added") - F.col("cost_evicted") != F.col("used"))
+    m = policy.replay(log, CONFIG).agg(F.array(F.struct(F.lit("costs added less evicted differ from use").alias("rule"), differs.alias("violations")), F.struct(F.lit("caches checked").alias("rule"), F.count("*").alias("violations"))).alias("r"))
     over = policy.replay(log, CONFIG, "decisions").agg(F.count_if((F.col("outcome") == "Admitted") & (F.col("used") > F.col("max_cost"))).alias("violations"))
-    cost = m.agg(F.count_if(F.col("cost_added") - F.col("cost_evicted") != F.col("used")).alias("violations"))
     ghosts = policy.replay(log, CONFIG, "ledger").agg(F.count_if(~F.col("stored")).alias("violations"))
-    rules = [("over budget after a decision", over), ("costs added less evicted differ from use", cost), ("resident without a stored row", ghosts), ("caches checked", m.agg(F.count("*").alias("violations")))]
-    out = None
-    for name, d in rules:
-        d = d.select(F.lit(name).alias("rule"), F.col("violations").cast("long").alias("violations"))
-        out = d if out is None else out.unionByName(d)
+    out = m.select(F.inline("r"))  # two rules of one replay
+    for name, d in (("over budget after a decision", over), ("resident without a stored row", ghosts)):
+        out = out.unionByName(d.select(F.lit(name).alias("rule"), "violations"))
     return out
 
 
