@@ -311,6 +311,19 @@ def test_a_tick_looks_at_due_buckets_only():
     assert not k.store and not k.buckets and not k.due and k.ledger.used == 0
 
 
+@pytest.mark.parametrize("admission", ["tinylfu", "lru", "infinite"])
+def test_a_kernel_that_notes_nothing_counts_the_same(admission):
+    rng = random.Random(9)
+    config = CacheConfig(num_counters=32, max_cost=60, admission=admission)
+    full, bare = Kernel(config), Kernel(config, keep=())
+    for seq in range(3000):
+        step = (rng.choice(["get", "insert", "remove"]), seq, seq * 500_000, 0, rng.randrange(60) << 50, 0, "v", rng.randrange(1, 9), rng.choice([0, 3_000_000]), None)
+        full.step(*step)
+        bare.step(*step)
+    assert full.decisions and full.events and not (bare.decisions or bare.events or bare.born)
+    assert full.counts == bare.counts and full.ledger.costs == bare.ledger.costs and set(full.store) == set(bare.store)
+
+
 def test_a_full_line_drops_batches():
     k = kernel(admission_lag="batch", insert_stripe_high_water=1, queue_batches=1, service_us=10, drain_interval_us=10**9)
     put(k, 0, 1, 3)  # done at 10
