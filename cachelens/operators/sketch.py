@@ -6,10 +6,16 @@ and empties the filter after every ``num_counters`` reads.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cachelens.functions.sizing import bloom_shape, sketch_mask
+from cachelens.operators.policy import runs
 from cachelens.operators.running import position
 
 HASH_BITS = 60
@@ -84,22 +90,51 @@ class TinyLfu:
         d = position(reads, by, order, "pos")
         self.reads = d.withColumns({"epoch": F.floor((F.col("pos") - 1) / counters).cast("long"), "cell": F.col(key).bitwiseAND(F.lit(self.mask))})
 
-    def bits(self) -> DataFrame:
-        """The first position at which each bit of each epoch's filter is set."""
-        return self.reads.withColumn("bit", F.explode(self._positions())).groupBy(*self.by, "epoch", "bit").agg(F.min("pos").alias("first_pos"))
-
     def _positions(self) -> Column:
         return F.array_distinct(bit_positions(F.col(self.key), self.exponent, self.probes, self.hash_bits))
 
+    def keys(self) -> DataFrame:
+        """The distinct keys of each epoch: where each was ``first`` read, ``n`` reads, and ``known``, whether the filter had its bits before that.
+
+        Later reads of a key find its bits, and only first reads set any.  An epoch is streamed through one filter in the order of first reads, so no
+        read is multiplied by its bits and memory is that of a filter.
+        """
+        by, key, exponent, probes, hash_bits = [*self.by, "epoch"], self.key, self.exponent, self.probes, self.hash_bits
+        first = self.reads.where(F.col(key).isNotNull()).groupBy(*by, key, "cell").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+        first = first.repartition(*by).sortWithinPartitions(*by, "first")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, door, low = None, set(), (1 << exponent) - 1
+            for b in batches:
+                known = []
+                for g, part in runs(b, tuple(by)):
+                    if g != group:
+                        group, door = g, set()
+                    k = part.column(key).to_numpy().astype(np.int64).view(np.uint64)
+                    bits = (k >> np.uint64(hash_bits - exponent))[:, None] + (k & np.uint64(low))[:, None] * np.arange(probes, dtype=np.uint64)
+                    for row in (bits & np.uint64(low)).tolist():
+                        known.append(door.issuperset(row))
+                        if not known[-1]:
+                            door.update(row)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known, pa.bool_())], names=[*b.schema.names, "known"])
+
+        return first.mapInArrow(run, StructType([*first.schema.fields, StructField("known", BooleanType())]))
+
     def door_hits(self) -> DataFrame:
         """Reads with ``door_hit``: all bits of the key had been set earlier in the epoch."""
-        asked = self.reads.select(*self.by, "epoch", "pos", self.key, "cell", F.explode(self._positions()).alias("bit"))
-        seen = asked.join(self.bits(), [*self.by, "epoch", "bit"])
-        return seen.groupBy(*self.by, "epoch", "pos", self.key, "cell").agg((F.max("first_pos") < F.col("pos")).alias("door_hit"))
+        return self.reads.join(self.keys(), [*self.by, "epoch", self.key, "cell"]).select(*self.by, "epoch", "pos", self.key, "cell", ((F.col("pos") > F.col("first")) | F.col("known")).alias("door_hit"))
+
+    def epoch_hits(self) -> DataFrame:
+        """``reads`` and ``door_hits`` of each epoch."""
+        return self.keys().groupBy(*self.by, "epoch").agg(F.sum("n").alias("reads"), F.sum(self._hits()).alias("door_hits"))
+
+    def _hits(self) -> Column:
+        """Hits of a key in an epoch: all its reads, but for the first if that set bits."""
+        return F.col("n") - 1 + F.col("known").cast("long")
 
     def epoch_cells(self) -> DataFrame:
         """Increments of each cell in each epoch."""
-        return self.door_hits().where("door_hit").groupBy(*self.by, "epoch", "cell").agg(F.count("*").alias("n"))
+        return self.keys().groupBy(*self.by, "epoch", "cell").agg(F.sum(self._hits()).alias("n")).where("n > 0")
 
     def last_epoch(self) -> DataFrame:
         """The current epoch of each cache, possibly still empty."""
@@ -114,7 +149,8 @@ class TinyLfu:
         keys = self.reads.select(*self.by, F.col(self.key), "cell").distinct()
         cms = keys.join(carry, [*self.by, "cell"], "left").join(current, [*self.by, "cell"], "left")
         cms = cms.withColumn("cms", F.least(F.lit(MOST).cast("long"), F.coalesce("carry", F.lit(0)) + F.coalesce("fresh", F.lit(0))))
-        live = self.bits().join(now, self.by).where("epoch = now").select(*self.by, "bit")
+        live = self.reads.join(now, self.by).where("epoch = now").select(*self.by, self.key).distinct()
+        live = live.select(*self.by, F.explode(self._positions()).alias("bit")).distinct()
         asked = keys.withColumn("bit", F.explode(self._positions())).join(live.withColumn("_set", F.lit(1)), [*self.by, "bit"], "left")
         door = asked.groupBy(*self.by, self.key).agg((F.count("*") == F.count("_set")).alias("door"))
         return cms.join(door, [*self.by, self.key]).select(*self.by, self.key, "cell", "cms", "door", (F.col("cms") + F.col("door").cast("long")).alias("estimate"))

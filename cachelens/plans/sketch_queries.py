@@ -141,7 +141,7 @@ def tiny(spark, sf_dir) -> sketch.TinyLfu:
 @query(TINY + "SELECT cache_id, epoch, count(*) AS reads, count(*) FILTER (WHERE door_hit) AS door_hits FROM h GROUP BY ALL")
 def tinylfu_door_hits(spark, sf_dir):
     """Reads whose key the filter had seen before in the epoch."""
-    return tiny(spark, sf_dir).door_hits().groupBy("cache_id", "epoch").agg(F.count("*").alias("reads"), F.count_if("door_hit").alias("door_hits"))
+    return tiny(spark, sf_dir).epoch_hits()
 
 
 @query(TINY + "SELECT cache_id, epoch, count(*) AS cells, CAST(sum(n) AS BIGINT) AS increments, max(n) AS most FROM c GROUP BY ALL")

@@ -95,6 +95,23 @@ def test_relational_estimates_equal_the_step_model(spark, counters, reads):
     assert got == {k: model.estimate(k) for k in set(trace)}
 
 
+def test_door_hits_without_multiplying_reads(spark):
+    rng = random.Random(5)
+    keys = [rng.randrange(2**60) for _ in range(30)]
+    trace = [(rng.choice("ab"), i, rng.choice(keys)) for i in range(400)]
+    d = TinyLfu(spark.createDataFrame(trace, "cache_id string, seq long, key long"), "key", 16, ["cache_id"])
+    want = []
+    for cache in "ab":
+        model = Frequency(16)
+        for pos, key in enumerate([k for c, _, k in trace if c == cache]):
+            want.append((cache, pos // 16, pos + 1, key, model.door.issuperset(policy._bits(key, d.exponent, d.probes))))
+            model.increment(key)
+    assert sorted((r.cache_id, r.epoch, r.pos, r.key, r.door_hit) for r in d.door_hits().collect()) == sorted(want)
+    got = {(r.cache_id, r.epoch): (r.reads, r.door_hits) for r in d.epoch_hits().collect()}
+    assert got == {g: (len(hits), sum(hits)) for g in {w[:2] for w in want} for hits in [[w[4] for w in want if w[:2] == g]]}
+    assert "Generate" not in d.epoch_cells()._jdf.queryExecution().toString()  # no row per bit of a read
+
+
 # --- running values
 
 
