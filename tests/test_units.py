@@ -477,6 +477,12 @@ def test_admission_beats_recency_under_pressure(spark):
     assert got["infinite-25"] > got["tinylfu-25"] > got["lru-25"]
 
 
+def test_replays_are_not_put_together_in_one_task(spark):
+    df = spark.createDataFrame([("c", 0, 0, 0, "get", 1, 0, "v", 0, 0, 0)], LOG)
+    d = policy.replay(df, policy.sweep(CacheConfig(num_counters=2000, max_cost=1), [25, 50]))
+    assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString() and d.count() == 6
+
+
 def test_stream_equals_batch(spark, sf):
     from cachelens.plans import policy_queries as q
 
