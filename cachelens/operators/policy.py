@@ -564,6 +564,26 @@ def runs(batch: pa.RecordBatch, by: tuple[str, ...]) -> Iterator[tuple[tuple, pa
         yield tuple(batch.column(c)[a].as_py() for c in by), batch.slice(a, z - a)
 
 
+def _forgets(config: CacheConfig) -> bool:
+    """Whether a clear leaves nothing of what came before but the budget and the ticks: no half-filled batch of reads, no state of a random sequence."""
+    return config.freq_lag == "none" and (config.admission != "tinylfu" or config.victim == "exact")
+
+
+def unwiped(log: DataFrame) -> DataFrame:
+    """The log without what cannot reach the end of a replay (see ``_forgets``): the operations before each cache's last clear, which empties store,
+    ledger, frequencies and counters.
+
+    Changes of the budget stay.  The others leave the times from which ticks go on, as two operations that do nothing else: the first of all and the
+    latest one.
+    """
+    cuts = log.where("op = 'clear'").groupBy("cache_id").agg(F.max("seq").alias("_cut"))
+    d = log.join(cuts, "cache_id", "left")
+    wiped = F.coalesce(F.col("seq") < F.col("_cut"), F.lit(False))
+    times = d.where(wiped).groupBy("cache_id").agg(F.array(F.min(F.struct("seq", "ts_us")), F.max_by(F.struct("seq", "ts_us"), "ts_us")).alias("times"))
+    ticks = times.select("cache_id", F.inline("times")).withColumn("op", F.lit("wait"))
+    return d.where(~wiped | (F.col("op") == "update_max_cost")).drop("_cut").unionByName(ticks, allowMissingColumns=True)
+
+
 def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what: str = "metrics", accepts: Callable | None = None, coster: Callable | None = None) -> DataFrame:
     """Replay every cache of ``log`` under every configuration.
 
@@ -571,10 +591,20 @@ def replay(log: DataFrame, configs: dict[str, CacheConfig] | CacheConfig, what:
         what: ``metrics`` (a row per cache), ``decisions``, ``feed`` or ``ledger`` (the residents at the end).
         accepts, coster: as in ``Kernel``.
 
-    The log is given once per configuration, each (configuration, cache) is one group, and groups are sorted and streamed in their partition.
+    The log is given once per configuration, each (configuration, cache) is one group, and groups are sorted and streamed in their partition.  Metrics
+    and residents depend on nothing that a clear has wiped, so what precedes a cache's last clear is not replayed for them.
     """
     if isinstance(configs, CacheConfig):
         configs = {"c": configs}
+    short = {n: c for n, c in configs.items() if what in ("metrics", "ledger") and _forgets(c)}
+    whole = {n: c for n, c in configs.items() if n not in short}
+    if not short:
+        return _replay(log, whole, what, accepts, coster)
+    out = _replay(unwiped(log), short, what, accepts, coster)
+    return out.unionByName(_replay(log, whole, what, accepts, coster)) if whole else out
+
+
+def _replay(log: DataFrame, configs: dict[str, CacheConfig], what: str, accepts: Callable | None, coster: Callable | None) -> DataFrame:
     ddl = {"metrics": METRICS, "decisions": DECISIONS, "feed": FEED, "ledger": LEDGER}[what]
     schema, plain = _arrow(ddl), {k: asdict(c) for k, c in configs.items()}
     keep = {"decisions": ("decisions",), "feed": ("events",)}.get(what, ())

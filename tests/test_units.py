@@ -3,6 +3,7 @@
 import os
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -483,6 +484,51 @@ def test_replays_are_not_put_together_in_one_task(spark):
     assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString() and d.count() == 6
 
 
+def test_replays_without_what_clears_wiped_equal_whole_ones(spark):
+    """Times that go back, budgets that change, sweeps after the clear, a cache without a clear, and configurations that carry something across."""
+    rng = random.Random(12)
+    logs = {}
+    for cache, clears in (("a", (500, 900)), ("b", (0,)), ("c", ()), (None, (300,)), ("d", (1199,))):
+        rows, base = [], rng.randrange(10**7)
+        for seq in range(1200):
+            ts = base + (seq % 700) * 450_000 + rng.randrange(3_000_000)
+            op = "clear" if seq in clears else rng.choices(["get", "insert", "remove", "insert_if_present", "update_max_cost", "wait"], [5, 5, 1, 1, 0.02, 0.1])[0]
+            keyed = op not in ("clear", "wait", "update_max_cost")
+            rows.append((cache, seq, ts, rng.randrange(4), op, rng.randrange(60) << 50 if keyed else None, 0 if keyed else None, "v", rng.randrange(1, 9), rng.choice([0, 2_000_000, 40_000_000]), rng.randrange(40, 90) if op == "update_max_cost" else None))
+        logs[cache] = rows
+    small = CacheConfig(num_counters=32, max_cost=60)
+    configs = policy.sweep(small, [30, 60]) | {
+        "sampled": replace(small, victim="sampled"),
+        "reads": replace(small, freq_lag="batch", buffer_items=7),
+        "lagged": replace(small, admission_lag="batch", insert_stripe_high_water=3, queue_batches=2, service_us=900_000, end_policy="rollback"),
+    }
+    df = spark.createDataFrame([r for rows in logs.values() for r in rows], LOG)
+    metrics_, residents = {}, set()
+    for name, config in configs.items():
+        for cache, rows in logs.items():
+            k = Kernel(config, keep=())
+            for c, seq, ts, client, op, *rest in rows:
+                k.step(op, seq, ts, client, *rest)
+            k.finish()
+            metrics_[name, cache] = (*[k.counts[n] for n in metrics.NAMES], k.ledger.used, k.ledger.budget)
+            residents |= {(name, cache, key, cost, key in k.store) for key, cost in k.ledger.costs.items()}
+    assert {(r[0], r[1]): tuple(r)[2:] for r in policy.replay(df, configs).collect()} == metrics_
+    assert {tuple(r) for r in policy.replay(df, configs, "ledger").collect()} == residents
+    # of the caches a and d few operations are left; b and those without a cache's name or a clear keep theirs
+    left = {r.cache_id: r["count"] for r in policy.unwiped(df).groupBy("cache_id").count().collect()}
+    assert left["b"] == left["c"] == left[None] == 1200 and left["a"] < 320 and left["d"] < 50
+
+
+def test_a_replay_does_not_look_at_what_a_clear_has_wiped(spark):
+    def accepts(before, *_):
+        assert before != "wiped"
+        return True
+
+    steps = [(0, 0, "insert", 1, "wiped", 1, 0), (1, 1, "insert", 1, "wiped", 1, 0), (2, 2, "clear", None, None, None, None), (3, 3, "insert", 1, "kept", 1, 0), (4, 4, "insert", 1, "kept", 1, 0)]
+    (got,) = policy.replay(log_of(spark, steps), CacheConfig(num_counters=10, max_cost=10), accepts=accepts).collect()
+    assert (got.keys_added, got.keys_updated, got.used) == (1, 1, 1)
+
+
 def test_stream_equals_batch(spark, sf):
     from cachelens.plans import policy_queries as q
 
