@@ -27,6 +27,8 @@ from cachelens.operators.metrics import NAMES
 HASH_BITS = 60
 #: Most rows of a batch that goes back to Spark.
 ROWS = 10_000
+#: Most caches whose last clear is broadcast.
+CUTS = 1 << 17
 
 
 @lru_cache(maxsize=1 << 16)
@@ -573,14 +575,16 @@ def unwiped(log: DataFrame) -> DataFrame:
     """The log without what cannot reach the end of a replay (see ``_forgets``): the operations before each cache's last clear, which empties store,
     ledger, frequencies and counters.
 
+    The last clears of at most ``CUTS`` caches, those with the most clears, are broadcast; the logs of further ones stay whole, which gives the same.
     Changes of the budget stay.  The others leave the times from which ticks go on, as two operations that do nothing else: the first of all and the
     latest one.
     """
-    cuts = log.where("op = 'clear'").groupBy("cache_id").agg(F.max("seq").alias("_cut"))
-    d = log.join(cuts, "cache_id", "left")
+    cuts = log.where("op = 'clear'").groupBy("cache_id").agg(F.max("seq").alias("_cut"), F.count("*").alias("_clears"))
+    cuts = cuts.orderBy(F.desc("_clears"), "cache_id").limit(CUTS).drop("_clears")
+    d = log.join(F.broadcast(cuts), "cache_id", "left")
     wiped = F.coalesce(F.col("seq") < F.col("_cut"), F.lit(False))
-    times = d.where(wiped).groupBy("cache_id").agg(F.array(F.min(F.struct("seq", "ts_us")), F.max_by(F.struct("seq", "ts_us"), "ts_us")).alias("times"))
-    ticks = times.select("cache_id", F.inline("times")).withColumn("op", F.lit("wait"))
+    times = d.where(wiped).groupBy("cache_id").agg(F.min("seq").alias("seq"), F.min_by("ts_us", "seq").alias("ts_us"), F.max_by("seq", "ts_us").alias("seq2"), F.max("ts_us").alias("ts2"))
+    ticks = times.select("cache_id", F.expr("stack(2, seq, ts_us, seq2, ts2) AS (seq, ts_us)")).withColumn("op", F.lit("wait"))
     return d.where(~wiped | (F.col("op") == "update_max_cost")).drop("_cut").unionByName(ticks, allowMissingColumns=True)
 
 

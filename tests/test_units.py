@@ -519,6 +519,16 @@ def test_replays_without_what_clears_wiped_equal_whole_ones(spark):
     assert left["b"] == left["c"] == left[None] == 1200 and left["a"] < 320 and left["d"] < 50
 
 
+def test_caches_beyond_the_bound_of_a_broadcast_replay_whole(spark, monkeypatch):
+    monkeypatch.setattr(policy, "CUTS", 1)
+    ops = [("insert", 1), ("clear", None), ("insert", 1), ("clear", None), ("insert", 2), ("get", 2)]
+    rows = [(cache, seq, seq, 0, op, key, 0, None, 1, 0, None) for cache, some in (("a", ops[2:]), ("b", ops)) for seq, (op, key) in enumerate(some)]
+    df = spark.createDataFrame(rows, LOG)
+    assert {r.cache_id: r["count"] for r in policy.unwiped(df).groupBy("cache_id").count().collect()} == {"a": 4, "b": 5}
+    got = policy.replay(df, CacheConfig(num_counters=10, max_cost=10)).collect()
+    assert sorted((r.cache_id, r.hit, r.keys_added, r.used) for r in got) == [("a", 1, 1, 1), ("b", 1, 1, 1)]
+
+
 def test_a_replay_does_not_look_at_what_a_clear_has_wiped(spark):
     def accepts(before, *_):
         assert before != "wiped"
